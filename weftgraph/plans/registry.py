@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.plans import general
+from weftgraph.plans import general, general_sql
 
 
 def queries() -> dict:
@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(general_sql.SQL)
