@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.paths import bare_target, is_path_target
-from weftgraph.llm import canonical
+from weftgraph.llm import canonical, cooccurrence, mojibake, terms
 from weftgraph.sources.tables import current_documents, latest, table
 
 
@@ -32,4 +32,49 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select("src_field", "row_key", "pos", F.col("match_id").alias("canon_id"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found,)}
+def _document_terms(spark: SparkSession, d: str) -> DataFrame:
+    return current_documents(table(spark, d, "md_documents"), ["title", "headings", "body"])
+
+
+def _all_terms():
+    return terms.term_list(F.col("title"), F.array_join("headings", "\n"), F.col("body"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    out = terms.log_entropy(_document_terms(spark, d), "id", _all_terms(), min_tf=3, min_df=2, max_df=8)
+    return out.select(F.col("key").alias("doc_key"), "term")
+
+
+def p5_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The weight of every term in every current document."""
+    out = terms.log_entropy(_document_terms(spark, d), "id", _all_terms())
+    return out.select(F.col("key").alias("doc_key"), "term", "tf", "df", F.round("weight", 6).alias("weight"))
+
+
+def _tag_baskets(spark: SparkSession, d: str) -> DataFrame:
+    docs = current_documents(table(spark, d, "md_documents"), ["tags"])
+    clean = F.transform("tags", lambda t: F.regexp_replace(F.lower(F.trim(t)), r"^(?:#\s*)+|\s+$", ""))
+    return docs.select(F.filter(clean, lambda t: t != "").alias("tags"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    out = cooccurrence.associations(_tag_baskets(spark, d), "tags", min_both=5, min_lift=2.9)
+    return out.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
+
+
+def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs with their counts and how much more often than chance."""
+    out = cooccurrence.associations(_tag_baskets(spark, d), "tags")
+    return out.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_both", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restore(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled decisions with the restored text and what is lost for good."""
+    return mojibake.restore(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_weights, p7_found, p7_pairs, p10_found, p10_restored)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftgraph.llm import queries as q
+from weftgraph.llm import sql
 
 
 def queries() -> dict:
@@ -10,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
