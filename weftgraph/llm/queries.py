@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.paths import bare_target, is_path_target
-from weftgraph.llm import canonical, cooccurrence, mojibake, terms
+from weftgraph.llm import bpe, canonical, cooccurrence, mixing, mojibake, terms
 from weftgraph.sources.tables import current_documents, latest, table
 
 
@@ -68,6 +68,28 @@ def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_both", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"), F.round("jaccard", 6).alias("jaccard"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _mix(spark: SparkSession, d: str):
+    targets = table(spark, d, "mix_targets")
+    sized = bpe.count_tokens(table(spark, d, "documents").where("source IS NOT NULL"), ["doc_id", "source"], "text")
+    chosen, plan = mixing.mix(sized, "doc_id", "source", "n_tokens", targets)
+    return chosen, plan, targets
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen decisions with their number of copies."""
+    return _mix(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and reached share of all tokens per source."""
+    chosen, plan, targets = _mix(spark, d)
+    return mixing.shares(chosen, "source", "n_tokens", plan, targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
 
@@ -77,4 +99,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_weights, p7_found, p7_pairs, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_weights, p7_found, p7_pairs, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)}
