@@ -30,8 +30,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 #: space spelled out (fixed value).
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-#: A space between two characters that are not white space.
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
+#: White space of two characters or more; a space in it does not part pieces.
+_WIDE = re.compile(r"\s\s+")
+#: Stands for such a space while a text is cut.
+_HELD = "\ue000"
 #: Most pieces and words that a worker keeps; beyond it the memory starts anew.
 CACHE_ITEMS = 400_000
 
@@ -54,6 +56,7 @@ class TrieEncoder:
         self._fits: dict[tuple[int, int], bool] = {}
         self._words: dict[bytes, bytes] = {}
         self._pieces: dict[str, bytes] = {}
+        self._after: dict[str, bytes] = {}
 
     def _merge(self, word: bytes) -> list[int]:
         """Merging by rank, the definition; used on two joined tokens only."""
@@ -97,12 +100,11 @@ class TrieEncoder:
                 n -= len(names[last[n]])
             self._words[word] = np.array(ids[::-1], np.int32).tobytes()
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        if len(self._pieces) > CACHE_ITEMS:
-            self._pieces.clear()
+    def _learn(self, texts: set[str]) -> None:
+        """Encodings of pieces; each is kept under the piece itself."""
         if len(self._words) > CACHE_ITEMS:
             self._words.clear()
-        cut = {p: [w.encode("utf-8", "replace") for w in self.pattern.findall(p)] for p in pieces}
+        cut = {p: [w.encode("utf-8", "replace") for w in self.pattern.findall(p.replace(_HELD, " "))] for p in texts}
         new = {w for ws in cut.values() for w in ws if w not in self._words}
         if new:
             self.learn_words(new)
@@ -112,25 +114,40 @@ class TrieEncoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers; null gives none."""
-        cut = []
-        new: set[str] = set()
-        known = self._pieces
+        if len(self._pieces) > CACHE_ITEMS:
+            self._pieces.clear()
+            self._after.clear()
+        cut: list[list[str]] = []
+        heads: set[str] = set()
+        tails: set[str] = set()
         for t in texts:
-            if not t:
-                cut.append(())
-                continue
-            parts = _BREAK.split(t)
-            first = parts[0]
-            parts = [first, *[" " + p for p in parts[1:]]]
+            t = t or ""
+            if _HELD in t:
+                parts = [t]  # holds the stand-in itself: encoded in one piece
+            else:
+                parts = _WIDE.sub(_hold, t).split(" ")
+            heads.add(parts[0])
+            tails.update(parts[1:])
             cut.append(parts)
-            new.update(parts)
-        new.difference_update(known)
-        if new:
-            if len(known) > CACHE_ITEMS:
-                new = {p for ps in cut for p in ps}
-            self._learn_pieces(new)
-        get = known.__getitem__
-        return [b"".join(map(get, ps)) for ps in cut]
+        plain = {h for h in heads if _HELD in h and h in texts}
+        tails.difference_update(self._after)
+        self._learn(({" " + p for p in tails} | heads) - self._pieces.keys() - plain)
+        for p in tails:
+            self._after[p] = self._pieces[" " + p]
+        get, out = self._after.__getitem__, []
+        for parts in cut:
+            head = self._whole(parts[0]) if parts[0] in plain else self._pieces[parts[0]]
+            out.append(head + b"".join(map(get, parts[1:])))
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        words = [w.encode("utf-8", "replace") for w in self.pattern.findall(text)]
+        self.learn_words({w for w in words if w not in self._words})
+        return b"".join([self._words[w] for w in words])
+
+
+def _hold(m: re.Match) -> str:
+    return m.group().replace(" ", _HELD)
 
 
 _ENCODERS: dict[int, TrieEncoder] = {}
