@@ -6,10 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.paths import bare_target, is_path_target
-from weftgraph.llm import bpe, canonical, cooccurrence, mixing, mojibake, terms
+from weftgraph.llm import bpe, canonical, cooccurrence, mixing, mojibake, residue, terms
 from weftgraph.sources.tables import current_documents, latest, table
 
 
+def _markup(spark: SparkSession, d: str, clean: bool) -> DataFrame:
+    """Per text its markup kinds or clean text; only these short results are
+    shuffled to find the current rows, not the texts."""
+    docs = residue.describe(table(spark, d, "md_documents"), ["id", "synced_at", "loaded_at"], ["body", "raw"], ["raw"], clean)
+    docs = latest(docs, ["id"], ["synced_at", "loaded_at"])
+    by_field = F.explode(F.array(*[F.struct(F.lit(f).alias("src_field"), F.col(f).alias("said")) for f in ("body", "raw")]))
+    docs = docs.select(F.col("id").alias("row_key"), by_field.alias("x")).select("x.src_field", "row_key", "x.said")
+    items = residue.describe(table(spark, d, "search_items").where("item_id IS NOT NULL"), ["item_id"], ["snippet"], [], clean)
+    items = items.select(F.lit("snippet").alias("src_field"), F.col("item_id").alias("row_key"), F.col("snippet").alias("said"))
+    return docs.unionByName(items)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    said = _markup(spark, d, False).where("said <> ''")
+    return said.select("src_field", "row_key", F.explode(F.split("said", ",")).alias("markup")).distinct()
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The clean text of every body, raw and snippet."""
+    return _markup(spark, d, True).select("src_field", "row_key", F.col("said").alias("clean_text"))
+
+
 def _typed_names(spark: SparkSession, d: str) -> DataFrame:
     refs = table(spark, d, "md_link_refs")
     refs = latest(refs.select("ref_id", "raw_target", "loaded_at"), ["ref_id"], ["loaded_at"])
@@ -99,4 +121,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_weights, p7_found, p7_pairs, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p5_found, p5_weights, p7_found, p7_pairs, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)}
