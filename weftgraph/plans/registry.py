@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from weftgraph.plans import general, general_sql
+from weftgraph.session import shipped
 
 
 def queries() -> dict:
-    return dict(general.QUERIES)
+    return {name: shipped(f) for name, f in general.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
