@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from weftgraph.llm import queries as q
 from weftgraph.llm import sql
+from weftgraph.session import shipped
 
 
 def queries() -> dict:
-    return dict(q.QUERIES)
+    return {name: shipped(f) for name, f in q.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
