@@ -76,7 +76,7 @@ class Mutation:
             if not entity(v.kind) or v.name is None:
                 keep.append(F.col(f"`{name}`"))
                 scope[name] = v
-        hidden = [c for c in df.columns if c.startswith("_")]
+        hidden = [c for c in df.columns if c.startswith(("_o", "_k", "_v", "_rid"))]
         entities = [(n, v) for n, v in r.scope.items() if entity(v.kind) and v.name is not None]
         df = df.select(*keep, *[F.col(f"`{c}`") for c in hidden], *[F.col(f"`{v.name}`").alias(n) for n, v in entities])
         for name, v in entities:
@@ -141,9 +141,8 @@ class Mutation:
             none = F.expr("cast(array() as array<bigint>)")
             col = F.struct(F.array(*[F.col(f"`{n}`") for n in nodes]).alias("nodes"), (F.array(*[F.col(f"`{e}`") for e in edges]) if edges else none).alias("edges"))
             r = Rows(r.df.withColumn(p.path, col), r.scope | {p.path: Val(F.col(f"`{p.path}`"), kind)}, r.order, r.keys)
-        r = self._refresh(r)
         r.scope = {k: v for k, v in r.scope.items() if not k.startswith("_")}
-        return r
+        return self._refresh(r)
 
     def _unique(self, made: DataFrame, kind: str) -> None:
         old, _ = self.graph.scan_edges((kind,), [], "e")
