@@ -49,8 +49,8 @@ class OrphanState:
     def apply(self, parents: DataFrame, refs: DataFrame) -> "OrphanState":
         """Take one batch into the state."""
         first = self.batches == 0
-        parents = parents.where("key IS NOT NULL")
-        refs = self.scratch.cut(refs.where("row_key IS NOT NULL"), "refs-in")
+        parents = parents.select(*[c.split()[0] for c in PARENT.split(", ")]).where("key IS NOT NULL")
+        refs = self.scratch.cut(refs.select(*[c.split()[0] for c in REF.split(", ")]).where("row_key IS NOT NULL"), "refs-in")
         if first:
             index = self.scratch.cut(latest(parents, ["parent_id"], ["version"]), "parents")
             probe, settled = _newest(refs), None
