@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.plans import general, general_sql, graph_queries
+from weftgraph.plans import general, general_sql, graph_queries, retrieval_queries
 from weftgraph.session import shipped
 
 
 def queries() -> dict:
-    return {name: shipped(f) for name, f in (general.QUERIES | graph_queries.QUERIES).items()}
+    return {name: shipped(f) for name, f in (general.QUERIES | graph_queries.QUERIES | retrieval_queries.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return general_sql.SQL | graph_queries.SQL
+    return general_sql.SQL | graph_queries.SQL | retrieval_queries.SQL
