@@ -48,7 +48,7 @@ def star_graph(spark: SparkSession, d: str) -> Graph:
         t_ = Target("label", label)
         i = IndexDef(made_name("idx", t_, prop), t_, prop, kind)
         indexes[i.name] = i
-    return g.but(catalog=replace(g.catalog, indexes=indexes))
+    return g.but(catalog=replace(g.catalog, indexes=indexes), next_node=len(LABELS) * SHIFT, next_edge=16 * SHIFT)
 
 
 def vault_graph(spark: SparkSession, d: str) -> Graph:
@@ -60,4 +60,4 @@ def vault_graph(spark: SparkSession, d: str) -> Graph:
     g = Graph(spark).with_nodes("MarkdownDocument", docs).with_nodes("MarkdownDirectory", dirs)
     for kind in ("MD_LINKS_TO", "MD_UP", "MD_RELATED", "MD_NEXT", "MD_PREVIOUS", "MD_IN_DIRECTORY", "MD_PARENT_DIRECTORY"):
         g = g.with_edges(kind, edges.where(F.col("etype") == kind.lower()).drop("etype"))
-    return g
+    return g.but(next_node=1 << 50, next_edge=1 << 50)
