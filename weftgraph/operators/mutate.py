@@ -168,10 +168,10 @@ class Mutation:
         for x in (p.start, *[y for s in p.steps for y in s]):
             if not (isinstance(x, ast.NodePat) and x.var in r.scope):
                 values += [self._typed(v) for _, v in self._bind_props(x.props, r.scope)]
-        group = [F.col(f"`{b}`").alias(f"_k{k}") for k, b in enumerate(bound)] + [v.alias(f"_v{k}") for k, v in enumerate(values)]
-        keys = [f"_k{k}" for k in range(len(bound))] + [f"_v{k}" for k in range(len(values))]
+        group = [F.lit(0).alias("_kall")] + [F.col(f"`{b}`").alias(f"_k{k}") for k, b in enumerate(bound)] + [v.alias(f"_v{k}") for k, v in enumerate(values)]
+        keys = ["_kall"] + [f"_k{k}" for k in range(len(bound))] + [f"_v{k}" for k in range(len(values))]
         keyed = self.scratch.cut(missing.select("*", *group), "missing")
-        firsts = keyed.groupBy(*keys).agg(F.min("_rid").alias("_rid")) if keys else keyed.agg(F.min("_rid").alias("_rid")).where("_rid IS NOT NULL")
+        firsts = keyed.groupBy(*keys).agg(F.min("_rid").alias("_rid"))
         lead = keyed.join(firsts.select("_rid"), "_rid", "left_semi")
         made = self._create(Rows(lead, r.scope, r.order, []), p)
         new = [n for n in made.scope if n not in r.scope]
@@ -182,7 +182,7 @@ class Mutation:
         for k in keys:
             cond = F.col(k).eqNullSafe(F.col(f"`·{k}`"))
             on = cond if on is None else on & cond
-        rest = rest.join(renamed, on) if on is not None else rest.crossJoin(renamed)  # one row: no key means one creation
+        rest = rest.join(renamed, on)
         old_cols = [F.col(f"`{v.name or n}`").alias(n) for n, v in r.scope.items()]
         hidden = [F.col(f"_o{k}") for k in range(len(r.order))]
         a = found_df.select(*old_cols, *hidden, *[F.col(f"`{n}`") for n in new])

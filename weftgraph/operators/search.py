@@ -90,8 +90,8 @@ def structural(scored: DataFrame, in_dir: DataFrame, parents: DataFrame) -> Data
     child of it, counts the weight once per kind and directory; a document is no
     anchor for itself.  Anchors are counted per directory first.
     """
-    least = scored.agg(F.min("score").alias("_least"))
-    marked = scored.crossJoin(F.broadcast(least)).withColumn("_anchor", F.col("score") == F.col("_least")).drop("_least")
+    least = scored.agg(F.min("score")).first()[0]
+    marked = scored.withColumn("_anchor", F.coalesce(F.col("score") == F.lit(least).cast("bigint"), F.lit(False)))
     w = F.round(F.col("weight") * 100).cast("bigint").alias("w")
     own = marked.select("id", "_anchor").join(in_dir.select(F.col("doc").alias("id"), "dir", w), "id")
     anchors = own.where("_anchor").groupBy("dir").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("aw"))
@@ -116,8 +116,8 @@ def search(docs: DataFrame, text: str, tags: list[str] | None = None, limit: int
     order = [F.col("score"), F.col("signal").desc(), F.col("path")]
     top = found.orderBy(*order).limit(limit + 1)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))  # at most limit + 1 rows
-    more = ranked.agg((F.max("rank") > limit).alias("truncated"))
-    ranked = ranked.where(F.col("rank") <= limit).crossJoin(F.broadcast(more))
+    last = F.max("rank").over(Window.partitionBy(F.lit(0)))
+    ranked = ranked.withColumn("truncated", last > limit).where(F.col("rank") <= limit)
     heading = F.when(F.array_contains("fields", "headings"), _best(F.col("headings"), F.col("terms")))
     line = F.when(F.array_contains("fields", "body"), _best(F.split("body", "\r?\n"), F.col("terms")))
     empty = F.coalesce(F.col("body"), F.lit("")) == ""
@@ -139,7 +139,8 @@ def get_document(docs: DataFrame, key: str) -> DataFrame:
     """
     ident = F.col("id") == int(key) if key.isdigit() else F.lit(False)
     hit = docs.where(ident | (F.col("path") == key) | (fold(F.col("title")) == Query(key).text))
-    return hit.crossJoin(F.broadcast(hit.agg(F.count(F.lit(1)).alias("_n")))).where("_n = 1").drop("_n")
+    few = hit.limit(2).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # at most two rows
+    return few.where("_n = 1").drop("_n")
 
 
 def list_documents(docs: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
