@@ -141,6 +141,6 @@ def shares(chosen: DataFrame, source: str, size: str, plan: list[dict], targets:
     spark = chosen.sparkSession
     want = spark.createDataFrame([(r["src_name"], r["share"], r["n"], r["total"]) for r in plan], "src_name string, wanted_share double, n_records bigint, tokens_available bigint")
     got = chosen.groupBy(F.col(source).alias("src_name")).agg(F.count(F.lit(1)).alias("n_used"), F.max("n_copies").alias("most_copies"), F.sum(F.col(size) * F.col("n_copies")).alias("tokens_used"))
-    whole = chosen.agg(F.sum(F.col(size) * F.col("n_copies")).alias("tokens_all"))
-    out = targets.join(F.broadcast(want), "src_name", "left").join(got, "src_name", "left").crossJoin(F.broadcast(whole))
-    return out.withColumn("reached_share", F.col("tokens_used") / F.col("tokens_all")).drop("tokens_all")
+    whole = chosen.agg(F.sum(F.col(size) * F.col("n_copies"))).first()[0]
+    out = targets.join(F.broadcast(want), "src_name", "left").join(got, "src_name", "left")
+    return out.withColumn("reached_share", F.col("tokens_used") / F.lit(whole).cast("double"))

@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.skew import HOT_ROWS, HOT_SHARE, salted_join
+from weftgraph.session import Scratch
+
 
 def term_list(*parts: Column) -> Column:
     """The longest runs of letters of any alphabet, in lower case, of several texts."""
@@ -43,9 +46,16 @@ def log_entropy(records: DataFrame, key: str, terms: Column, min_tf: int = 1, mi
     often as it stands in the record's rows.
     """
     tf = record_terms(records, key, terms)
-    stats = term_stats(tf, records.count()).where(F.col("df") >= min_df)
+    n = records.count()
+    stats = Scratch(records.sparkSession, "terms").cut(term_stats(tf, n), "stats")
+    # terms that many records hold: few by construction, and known before the join
+    rows = stats.agg(F.sum("df")).first()[0] or 0
+    hot = [r[0] for r in stats.where(F.col("df") > max(HOT_ROWS, rows // HOT_SHARE)).select("term").collect()]
+    stats = stats.where(F.col("df") >= min_df)
+    shown = tf.where(F.col("tf") >= min_tf)
     if max_df is not None:
         stats = stats.where(F.col("df") <= max_df)
-    shown = tf.where(F.col("tf") >= min_tf)
-    out = shown.join(stats, "term")
+        if hot and max_df < HOT_ROWS:
+            shown, hot = shown.where(~F.col("term").isin(hot)), []  # none of them is wanted
+    out = salted_join(shown, stats, "term", F.col("key"), hot)
     return out.select("key", "term", "tf", "df", (F.log2(1 + F.col("tf")) * F.col("g")).alias("weight"))
