@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.sources.graph import Graph
 from weftgraph.sources.tables import tidy
 
 #: Fields that every document must have (fixed values).
@@ -85,6 +86,23 @@ def report(docs: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
+def strict_exit(checks: DataFrame) -> int:
+    """Exit code of a report: 2 if a check fails, else 0."""
+    return 2 if not checks.where("state = 'fail'").isEmpty() else 0
+
+
+def citation_audit(docs: DataFrame) -> DataFrame:
+    """``id, path, failures``: citation fields that are absent or blank; [] is good."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    return docs.select("id", "path", F.array_compact(F.array(*[F.when(blank(c), F.lit(c)) for c in ("root", "path", "source_hash", "status", "title")])).alias("failures"))
+
+
+def reindex_report(g: Graph) -> DataFrame:
+    """The indexes of a graph and their state; scans need none, so none is built."""
+    rows = [(i.name, i.target.name, i.prop, i.kind.lower(), i.status, False) for _, i in sorted(g.catalog.indexes.items())]
+    return g.spark.createDataFrame(rows, "name string, target string, property string, kind string, status string, created boolean")
+
+
 def normal_snapshot(docs: DataFrame, dirs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes by path (``dir:`` before directories) and edges by ``from|type|to``."""
     nodes = docs.select("id", F.concat_ws("\n", "root", "path").alias("key"), tidy("status").alias("status"), "title")

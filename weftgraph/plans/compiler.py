@@ -403,6 +403,10 @@ class Compiler:
             df = df.orderBy(*full)
         if limit is not None:
             df = df.limit(limit)
+        if by and self.ordered:
+            # after a global sort, ids that grow within and over partitions are places
+            place = self.fresh("ord")
+            return replace(r, df=df.withColumn(place, F.monotonically_increasing_id()), order=[F.col(place)])
         return replace(r, df=df)
 
     def finish(self, q: ast.Query, r: Rows) -> DataFrame:

@@ -14,7 +14,6 @@ from weftgraph.lang.errors import QueryError
 from weftgraph.operators import search as S
 from weftgraph.operators.context import context
 from weftgraph.sources.formats import plain
-from weftgraph.sources.graph import Graph
 from weftgraph.sources.markdown import Vault
 
 BODY_CHARS = 4_000
@@ -37,16 +36,6 @@ class ToolServer:
     def docs(self) -> DataFrame:
         return self.vault.docs.select("id", "path", "title", "aliases", "tags", "headings", "body", "raw", "status")
 
-    def graph(self) -> Graph:
-        g = Graph(self.vault.spark).with_nodes("MarkdownDocument", self.vault.docs.select("id", "root", "path", "title", "status"))
-        if self.vault.dirs is not None:
-            g = g.with_nodes("MarkdownDirectory", self.vault.dirs.select("id", "root", "path", "status"))
-        edges = self.vault.edges
-        for kind in [r[0] for r in edges.select("type").distinct().collect()]:  # a handful of types
-            own = edges.where(edges.type == kind).selectExpr("xxhash64(src, dst, type) AS id", "src", "dst")
-            g = g.with_edges(kind, own)
-        return g
-
     def handle(self, line: str) -> str | None:
         try:
             req = json.loads(line)
@@ -106,7 +95,7 @@ class ToolServer:
         return {"ok": True, "items": [{"id": r["id"], "path": r["path"], "title": r["title"]} for r in S.list_documents(self.docs, limit).collect()]}
 
     def tool_context(self, ids: list = (), paths: list = (), depth: int = 2, direction: str = "both", edge_types: list = (), labels: list = (), max_nodes: int = 25, max_edges: int = 100) -> dict:
-        return {"ok": True} | context(self.graph(), ids, paths, depth, direction, tuple(edge_types), tuple(labels), min(max_nodes, 250), min(max_edges, 1_000))
+        return {"ok": True} | context(self.vault.graph(), ids, paths, depth, direction, tuple(edge_types), tuple(labels), min(max_nodes, 250), min(max_edges, 1_000))
 
     def tool_add_note(self, path: str, body: str, title: str | None = None, tags: list = ()) -> dict:
         if self.root is None:

@@ -169,6 +169,12 @@ class Graph:
         props = [normal(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields if f.name not in ("id", "src", "dst")]
         return self.but(edges=[*self.edges, Part(df.select(*fixed, *props), type=kind)])
 
+    def overlay(self, other: "Graph") -> "Graph":
+        """This graph and another, for one query; neither changes."""
+        c = self.catalog
+        c = replace(c, labels=c.labels | other.catalog.labels, edge_types=c.edge_types | other.catalog.edge_types)
+        return self.but(nodes=[*self.nodes, *other.nodes], edges=[*self.edges, *other.edges], catalog=c)
+
     # ---- scans
 
     def node_parts(self, labels: tuple) -> list[Part]:

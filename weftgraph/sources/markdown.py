@@ -22,6 +22,7 @@ from weftgraph.functions.paths import normal_path
 from weftgraph.operators.mutate import number
 from weftgraph.session import Scratch, ship
 from weftgraph.sources import frontmatter
+from weftgraph.sources.graph import Graph
 
 RELATIONS = {"up": "up", "parent": "up", "related": "related", "next": "next", "previous": "previous", "link": "link", "links": "link"}
 EDGE_TYPES = {"up": "MD_UP", "related": "MD_RELATED", "next": "MD_NEXT", "previous": "MD_PREVIOUS"}
@@ -249,6 +250,19 @@ class Vault:
         self.spark, self.docs, self.dirs, self.edges = spark, docs, dirs, edges
         self.next_id = 1
 
+    def graph(self, shift: int = 0) -> Graph:
+        """Documents, directories and edges as a graph; ``shift`` moves the ids
+        away from those of a graph it is laid over."""
+        own = [c for c in self.docs.columns if c not in ("refs", "keys", "id")]
+        g = Graph(self.spark).with_nodes("MarkdownDocument", self.docs.select((F.col("id") + shift).alias("id"), *own))
+        if self.dirs is not None:
+            g = g.with_nodes("MarkdownDirectory", self.dirs.select((F.col("id") + shift).alias("id"), "root", "path", "status"))
+        ends = [F.xxhash64("src", "dst", "type").alias("id"), (F.col("src") + shift).alias("src"), (F.col("dst") + shift).alias("dst")]
+        rest = [c for c in self.edges.columns if c not in ("src", "dst", "type", "id")]
+        for kind in ["MD_LINKS_TO", *EDGE_TYPES.values(), "MD_IN_DIRECTORY", "MD_PARENT_DIRECTORY"]:
+            g = g.with_edges(kind, self.edges.where(F.col("type") == kind).select(*ends, *rest))
+        return g
+
     def sync(self, root: str, directory_graph: bool = False) -> dict:
         """Bring the state up to date with the files below ``root``; returns counts.
 
