@@ -28,7 +28,12 @@ STEPS: dict[str, tuple] = {
         """SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM part)
         + (SELECT count(*) FROM events) + (SELECT count(DISTINCT user_id) FROM events) AS node_count, (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM events) AS edge_count,
         9::BIGINT AS label_count, 4::BIGINT AS edge_type_count, 3::BIGINT AS index_count, 0::BIGINT AS constraint_count, 1::BIGINT AS last_tx_id, 0::BIGINT AS wal_bytes"""),
-    "show_schema": (star_graph, "CREATE LABEL Extra DESCRIPTION 'none yet'", "SHOW SCHEMA", None),
+    "show_schema": (star_graph, "CREATE LABEL Extra DESCRIPTION 'none yet'", "SHOW SCHEMA",
+        """SELECT 'label' AS kind, l AS name, CASE WHEN l = 'Extra' THEN 'none yet' END AS description, 'CREATE LABEL ' || l || CASE WHEN l = 'Extra' THEN ' DESCRIPTION ' || chr(39) || 'none yet' || chr(39) ELSE '' END AS ddl
+        FROM (SELECT unnest(['Customer', 'Event', 'Extra', 'Nation', 'Order', 'Part', 'Region', 'Supplier', 'User']) AS l)
+        UNION ALL SELECT 'edge_type', t, NULL, 'CREATE EDGE TYPE ' || t FROM (SELECT unnest(['DID', 'IN_NATION', 'IN_REGION', 'PLACED']) AS t)
+        UNION ALL SELECT 'index', 'idx_label_' || l || '_' || p, NULL, 'CREATE INDEX idx_label_' || l || '_' || p || ' ON :' || l || '(' || p || ') KIND ' || k
+        FROM (VALUES ('Customer', 'c_custkey', 'EQ'), ('Customer', 'c_acctbal', 'RANGE'), ('Part', 'p_name', 'FULLTEXT')) v(l, p, k)"""),
     "show_indexes": (star_graph, "CREATE CONSTRAINT ON :Customer REQUIRE c_custkey UNIQUE", "SHOW INDEXES ON :Customer",
         """SELECT * FROM (VALUES ('idx_label_Customer_c_custkey', 'label', 'Customer', 'c_custkey', false, 'ready', 'eq'), ('idx_label_Customer_c_custkey_unique', 'label', 'Customer', 'c_custkey', true, 'ready', 'eq'),
         ('idx_label_Customer_c_acctbal', 'label', 'Customer', 'c_acctbal', false, 'ready', 'range')) t(name, target_kind, target_name, property, "unique", status, kind)"""),

@@ -10,7 +10,7 @@ from weftgraph.operators.hierarchy import descendants, parent_links, resolve
 from weftgraph.operators.orphans import OrphanState
 from weftgraph.operators.snapshots import changes
 from weftgraph.session import Scratch
-from weftgraph.sources.tables import current_documents, live_edges, table, tidy
+from weftgraph.sources.tables import live_edges, table, tidy
 
 FORESTS = {"directory": ["md_in_directory", "md_parent_directory"], "up": ["md_up"]}
 
