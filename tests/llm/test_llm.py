@@ -4,6 +4,7 @@ import base64
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -41,6 +42,36 @@ def test_markup_kinds(text, want):
     assert kinds(text) == want
 
 
+LONG = ("several plain words of text " * 200).strip()
+
+
+@pytest.mark.parametrize("before, span, after, want, clean", [
+    ("It was ", f"**{LONG}**", " there.", {"markdown"}, LONG),
+    ("It was ", f"__{LONG}__", " there.", {"markdown"}, LONG),
+    ("It was ", f"~~{LONG}~~", " there.", {"markdown"}, LONG),
+    ("See ", '<img src="data:image/png;base64,' + "iVBORw0KGgo" * 500 + '" alt="x"/>', " here.", {"html"}, ""),
+    ("See ", '<a href="/x/y.html"\n   class="wide"\n   target=_blank>the page</a>', " here.", {"html"}, "the page"),
+    ("It is ", "<b>bold</b\n>", " now.", {"html"}, "bold"),
+    ("Here ", "$" + " + ".join(f"x_{{{i}}} = \\frac{{a}}{{b}}" for i in range(300)) + "$", " holds.", {"latex"}, "$" + " + ".join(f"x_{{{i}}} = \\frac{{a}}{{b}}" for i in range(300)) + "$"),
+    ("Here $x_{" + "i+" * 100 + "j} = 2$", "", " holds.", {"latex"}, ""),
+    ("If x <y then we go on\nand on with the rest of it, so 5 > 3 is true.", "", "", set(), ""),
+    ("We saw a <b and c in it.\n\nThen more text.\n", "> quoted line", "", {"markdown"}, "quoted line"),
+    (f"He paid $5 and {LONG} then $7 more.", "", "", set(), ""),
+])
+def test_long_and_broken_spans(before, span, after, want, clean):
+    nodes = residue.analyse([before + span + after], residue.model())[0]
+    assert {markup.FAMILIES[k] for k in markup.kinds(nodes)} == want
+    assert markup.render(before + span + after, nodes) == before + clean + after
+
+
+@pytest.mark.parametrize("mark", ["**", "*", "_", "~~", "<b ", "$", "x_{", "</b\n"])
+def test_unclosed_marks_are_scanned_once(mark):
+    began = time.process_time()
+    markup.candidates((mark + "word ") * 30_000)
+    markup.candidates((mark + "word " * 400) * 500)
+    assert time.process_time() - began < 10
+
+
 def test_markup_held_out_accuracy():
     x, y = residue.labelled(150, seed=7)
     assert ((residue.model().decision(x) > 0) == (y > 0)).mean() > 0.98

@@ -1,7 +1,9 @@
 """Candidate markup of a text as a tree of nodes, with features per node.
 
 Every construct of Markdown, HTML, MediaWiki and LaTeX is looked for liberally,
-so that the candidates also hold what only looks like markup.  Candidates nest
+so that the candidates also hold what only looks like markup.  Spans may be of
+any length and tags run over line breaks; a span's classes leave out its own
+delimiter, so each mark is scanned up to the next one only.  Candidates nest
 by their spans; the tree gives each node its depth, siblings and subtree.
 Which candidates are markup is for the model to say.
 """
@@ -11,6 +13,7 @@ from __future__ import annotations
 import html.entities
 import math
 import re
+from collections.abc import Iterator
 
 FAMILIES = ("markdown", "html", "wiki", "latex")
 MD, HTML, WIKI, TEX = range(4)
@@ -33,9 +36,9 @@ CONSTRUCTS = [
     ("quote", MD, False, ">", re.compile(r"^ {0,3}>[^\n]*$", _M)),
     ("table", MD, False, "|", re.compile(r"^[^\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$(?:\n[^\n]*\|[^\n]*$)*", _M)),
     ("row", MD, False, "|", re.compile(r"^[ \t]*\|(?![-}+])(?:[^|\n]+\|){2,}[ \t]*$", _M)),
-    ("star", MD, False, "*", re.compile(r"(\*{1,3})(?!\*)([^*\n]{1,300}?)\1(?!\*)")),
-    ("under", MD, False, "_", re.compile(r"(_{1,3})(?!_)([^_\n]{1,300}?)\1(?!_)")),
-    ("strike", MD, False, "~", re.compile(r"~~(?!~)[^~\n]{1,300}?~~(?!~)")),
+    ("star", MD, False, "*", re.compile(r"(\*{1,3})(?!\*)([^*\n]+?)\1(?!\*)")),
+    ("under", MD, False, "_", re.compile(r"(_{1,3})(?!_)([^_\n]+?)\1(?!_)")),
+    ("strike", MD, False, "~", re.compile(r"~~(?!~)[^~\n]+?~~(?!~)")),
     ("image", MD, False, "!", re.compile(r"!\[[^\[\]\n]*\]\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)?")),
     ("link", MD, False, "[", re.compile(r"(?<!!)\[[^\[\]\n]*\]\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)?")),
     ("note", MD, False, "[", re.compile(rf"!?\[\[(?!\s*(?:{NAMESPACES})\s*:)[^\[\]\n]+(?:\]\]|…?\Z)")),
@@ -45,7 +48,7 @@ CONSTRUCTS = [
     ("reflink", MD, False, "[", re.compile(r"(?<![\[!])\[[^\[\]\n]+\]\[[^\[\]\n]*\]")),
     ("autolink", MD, False, "<", re.compile(r"<(?:https?://|mailto:)[^<>\s]+>")),
     ("comment", HTML, True, "<", re.compile(r"<!--.*?(?:-->|\Z)", re.S)),
-    ("tag", HTML, False, "<", re.compile(r"</?[A-Za-z](?!ttps?:|ailto:)[^<>\n]{0,300}>")),
+    ("tag", HTML, False, "<", re.compile(r"</?[A-Za-z](?!ttps?:|ailto:)[^<>]*>")),
     ("entity", HTML, False, "&", re.compile(r"&#?[A-Za-z0-9]{1,31};?")),
     ("template", WIKI, False, "{", re.compile(r"\{\{(?:[^{}]|\{(?!\{)[^{}]*\}|\{\{[^{}]*\}\})*(?:\}\}|…?\Z)")),
     ("wtable", WIKI, False, "{", re.compile(r"^ {0,3}\{\|.*?(?:^\|\}|\Z)", _MS)),
@@ -57,16 +60,17 @@ CONSTRUCTS = [
     ("magic", WIKI, False, "_~", re.compile(r"__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION)__|(?<!~)~{4,5}(?!~)(?=\s|$)")),
     ("env", TEX, False, "\\", re.compile(r"\\begin\{([A-Za-z]+\*?)\}.*?(?:\\end\{\1\}|\Z)", re.S)),
     ("display", TEX, False, "$\\", re.compile(r"\$\$(?!\$)[^$]+?\$\$|\\\[.+?\\\]", re.S)),
-    ("inline", TEX, False, "$", re.compile(r"(?<![\$\\])\$(?!\$)([^$\n]{1,300}?)\$(?!\$)")),
+    ("inline", TEX, False, "$", re.compile(r"(?<![\$\\])\$(?!\$)([^$\n]+?)\$(?!\$)")),
     ("paren", TEX, False, "\\", re.compile(r"\\\([^\n]+?\\\)")),
     ("command", TEX, False, "\\", re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*(?:\{[^{}\n]*\}[^{}\n]*)*\})*")),
-    ("sub", TEX, False, "_^", re.compile(r"(?<![\w\\])[A-Za-z][_^](?:\{[^{}\n]{1,40}\}|\w)")),
+    ("sub", TEX, False, "_^", re.compile(r"(?<![\w\\])[A-Za-z][_^](?:\{[^{}\n]+\}|\w)")),
 ]
 NAMES = [c[0] for c in CONSTRUCTS] + ["element"]
 FAMILY = [c[1] for c in CONSTRUCTS] + [HTML]
 OPAQUE = [c[2] for c in CONSTRUCTS] + [False]
 ELEMENT = len(CONSTRUCTS)
 _ID = {n: i for i, n in enumerate(NAMES)}
+TAG, QUOTE = _ID["tag"], _ID["quote"]
 _BLOCK_FIRST = {_ID[n] for n in ("fence", "comment", "wtable", "env", "display", "template", "table")}
 FEATURES = ("construct", "family", "log_length", "newlines", "before", "after", "inner_first_blank", "inner_last_blank", "letters", "digits", "words", "known", "attributes", "closed", "line_start", "line_end", "depth", "parent", "siblings", "same_siblings", "subtree", "density", "position", "formula_signs")
 
@@ -226,7 +230,8 @@ def decode(nodes: list[Node], logits: list[float]) -> None:
     An accepted code block, code span or comment makes all below it content;
     an accepted formula leaves only LaTeX below it.  For every node the gain of
     accepting it (its log-odds and the best of its subtree under that
-    restriction) is held against leaving it out.
+    restriction) is held against leaving it out.  What starts inside an accepted
+    tag and runs past it (a line that begins with its ``>``) is part of the tag.
     """
     free: dict[int, float] = {}
     tex: dict[int, float] = {}
@@ -256,6 +261,12 @@ def decode(nodes: list[Node], logits: list[float]) -> None:
             inside = sum(tex[id(c)] for c in n.children) if n.kind in _BLOCK_MATH else below_free
             n.on = n.score + inside > below_free
             mode[id(n)] = 1 if n.on and n.kind in _BLOCK_MATH else 0
+    end = 0
+    for n in nodes:
+        if n.on and n.start < end < n.end:
+            n.on = False
+        elif n.on and n.kind == TAG:
+            end = n.end
 
 
 def kinds(nodes: list[Node]) -> set[int]:
@@ -276,10 +287,21 @@ def render(text: str, nodes: list[Node]) -> str:
     return re.sub(r"\n{3,}", "\n\n", out).strip()
 
 
+def _shown(nodes: list[Node]) -> Iterator[Node]:
+    """The accepted nodes next below; what is left out hides nothing that crosses it."""
+    todo = nodes[::-1]
+    while todo:
+        n = todo.pop()
+        if n.on:
+            yield n
+        else:
+            todo += n.children[::-1]
+
+
 def _render(text: str, a: int, b: int, nodes: list[Node]) -> str:
     pieces, at = [], a
-    for n in nodes:
-        if n.start < at:
+    for n in _shown(nodes):
+        if n.start < at or n.end > b:
             continue
         pieces.append(text[at : n.start])
         pieces.append(_one(text, n))
@@ -289,12 +311,10 @@ def _render(text: str, a: int, b: int, nodes: list[Node]) -> str:
 
 
 def _inner(text: str, n: Node, a: int, b: int) -> str:
-    return _render(text, a, b, [c for c in n.children if c.start >= a and c.end <= b])
+    return _render(text, a, b, n.children)
 
 
 def _one(text: str, n: Node) -> str:
-    if not n.on:
-        return _inner(text, n, n.start, n.end)
     name, raw = NAMES[n.kind], text[n.start : n.end]
     if name == "fence":
         lines = raw.split("\n")
@@ -375,7 +395,7 @@ def _one(text: str, n: Node) -> str:
 
 def _element(text: str, n: Node) -> str:
     name = _OPEN.match(n.match.group()).group(2).lower()
-    a, b = n.match.end(), n.end - len(name) - 3
+    a, b = n.match.end(), text.rindex("<", n.start, n.end)
     if name in ("script", "style"):
         return ""
     if name == "pre":

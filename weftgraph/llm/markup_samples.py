@@ -18,10 +18,13 @@ _SYLLABLES = "ba ce di fo gu la me ni po ru sa te vi xo zu ran tel mor sin dap k
 #: Half of the texts draw on real words, so that words with capitals and endings occur.
 _WORDS = "answer budget course draft edge feedback garden house index journal label meeting network office parser query report sample thread update value window year".split()
 
+_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
 
 class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.far = random.Random(-seed - 1)
 
     def word(self) -> str:
         r = self.r
@@ -195,6 +198,32 @@ class Maker:
         ]
         return r.choice(forms)()
 
+    def long(self) -> list[tuple[str, int | None]]:
+        """Spans of many characters or lines, and plain text that looks like them."""
+        r, w, s, n = self.r, self.word, self.sentence, self.num
+        v = lambda: r.choice("abcfgnxyz")
+        gap = r.choice(["\n", "\n  ", "\n\n"])
+        t = r.choice(["a", "b", "p", "i", "div", "span", v(), w()])
+        run = lambda body, family: [(s() + " ", None), (body, family), (" " + w() + ".", None)]
+        attrs = lambda sep: sep.join(f"{r.choice(['id', 'class', 'title', 'href', 'style', 'alt', 'data-' + w()])}={q}{self.words(1, 3)}{q}" for q in r.choices("'\"", k=r.randint(1, 5)))
+        sums = lambda a, b: " + ".join(r.choice([f"{v()}_{{{n()}}}", f"{v()}^{{{n()}}}", f"\\frac{{{v()}}}{{{v()}_{n()}}}", f"{v()}", f"{n()}"]) for _ in range(r.randint(a, b)))
+        forms = [
+            lambda: run(r.choice(["**", "*", "***", "__", "_", "~~"]).join(["", self.words(30, 150), ""]), MD),
+            lambda: run(r.choice(["**", "*", "***", "__", "_", "~~"]).join(["", self.words(100, 900), ""]), MD),
+            lambda: run(f'<img src="data:image/png;base64,{"".join(r.choices(_BASE64, k=r.randint(200, 3000)))}" alt="{w()}"{r.choice(["", "/", " /"])}>', HTML),
+            lambda: run(f"<img{gap}{attrs(gap)}{r.choice(['', gap])}{r.choice(['', '/'])}>", HTML),
+            lambda: run(f"<{(u := r.choice(['a', 'b', 'p', 'div', 'span']))}{gap}{attrs(gap)}{r.choice(['', gap])}>{s()}</{u}{r.choice(['', '', gap])}>", HTML),
+            lambda: run(f"<{(u := r.choice(['a', 'div', 'span']))} {attrs(' ')} {attrs(' ')}>{s()}</{u}>", HTML),
+            lambda: run(f"${sums(20, 120)} = {n()}$", TEX),
+            lambda: run(f"${v()}_{{{sums(8, 30)}}} = {n()}$", TEX),
+            lambda: [(f"We saw {v()} <{t} and {self.words(1, 30)} in it.{gap}{self.words(2, 30)}.\n", None), (f"> {s()}", MD + LINE)],
+            lambda: [(f"If {v()} <{t} then {self.words(1, 20)}{gap}{self.words(2, 20)}, so {n()} > {n()} {w()}.", None)],
+            lambda: [(f"The {w()} has {w()} <{t}, {self.words(1, 20)}; {self.words(1, 20)}.{gap}{s()} {w()} -> {w()}.", None)],
+            lambda: [(f"He paid ${n()} and {self.words(40, 120)} then ${n()} more.", None)],
+            lambda: [(f"{n()} * {self.words(40, 120)} * {n()} and {w()}_{w()} {self.words(40, 120)} {w()}_{w()}.", None)],
+        ]
+        return r.choice(forms)()
+
     def text(self) -> tuple[str, list[tuple[int, int, int]]]:
         """A text and its spans (start, end, family)."""
         r = self.r
@@ -209,6 +238,10 @@ class Maker:
                 blocks.append([(" ".join([twin, *line, twin] if r.random() < 0.15 else line), None)])
             else:
                 blocks.append([(" ".join(self.sentence() for _ in range(r.randint(1, 3))), None)])
+        while self.far.random() < 0.4:
+            self.r = self.far
+            blocks.insert(self.r.randint(0, len(blocks)), self.long())
+            self.r = r
         out, spans, at = [], [], 0
         for b in blocks:
             for piece, family in b:

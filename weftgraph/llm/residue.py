@@ -35,8 +35,11 @@ def labelled(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(count):
         text, spans = maker.text()
         nodes = markup.tree(text)
-        rows += markup.features(text, nodes)
-        for n in nodes:
+        # a line that begins with the end of a tag says nothing of quotes: the tag decides
+        ends = {n.end for n in nodes if n.kind == markup.TAG}
+        clear = [n.kind != markup.QUOTE or text.index(">", n.start) + 1 not in ends for n in nodes]
+        rows += [x for x, ok in zip(markup.features(text, nodes), clear) if ok]
+        for n in [n for n, ok in zip(nodes, clear) if ok]:
             own = any(_is(n, a, b, f, text) for a, b, f in spans)
             labels.append(int(own))
     return np.array(rows, np.float64), np.array(labels, np.float64)
