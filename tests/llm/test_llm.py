@@ -311,6 +311,31 @@ def test_double_and_partial_and_lost():
     assert mojibake.repair("wyrażony pogląd".encode("cp1250").decode("cp1252")) == "wyrażony pogląd"
 
 
+@pytest.mark.parametrize("meant", ["cp1250", "iso8859_2"])
+@pytest.mark.parametrize("seen", ["cp1252", "latin-1"])
+def test_gate_keeps_every_pair_of_polish_letters(meant, seen):
+    assert all(mojibake.suspect(t) for t in ("ka¿ê", "wyra¿ê", "dr¿ê")) and mojibake.repair("wyra¿ê") == "wyrażę"
+    turned = 0
+    for x, y in itertools.product("ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", repeat=2):
+        for form in (f"ka{x}{y}", f"{x}{y}ka", f"w{x}{y}a", f"to ka{x}{y}, i", f"ka{x} a{y} ma"):
+            try:
+                bad = form.encode(meant).decode(seen)
+            except UnicodeError:
+                continue
+            if mojibake.repair(bad) != bad:
+                turned += 1
+                assert mojibake.suspect(bad), bad
+    assert turned > 100
+
+
+def test_gate_keeps_all_that_repair_changes():
+    r = random.Random(11)
+    signs = "aekzAZ ,.;?\n" + "¹³¿Ÿ¶±¼¯¦\x80\x9c\x9f\ufffdêæñóàÿÃÂ©ÐÑàáâãРСЂѓжаст├⌐√" + "²°m"
+    for _ in range(30_000):
+        t = "".join(r.choices(signs, k=r.randint(1, 9)))
+        assert mojibake.suspect(t) or (mojibake.repair(t) == t and "\ufffd" not in t), t
+
+
 def test_restore_table(spark):
     ship(spark)
     rows = [(1, "Les dÃ©pens"), (1, "Les dÃ©pens"), (2, None), (3, ""), (4, "plain"), (5, "na\ufffdve"), (None, "cafÃ©"), (6, "é " * 200_000), (7, "x " * 100_000 + "cafÃ©")]
