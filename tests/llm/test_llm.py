@@ -311,6 +311,19 @@ def test_double_and_partial_and_lost():
     assert mojibake.repair("wyrażony pogląd".encode("cp1250").decode("cp1252")) == "wyrażony pogląd"
 
 
+def test_repair_goes_on_until_nothing_changes():
+    def deep(text, page, times):
+        for _ in range(times):
+            text = text.encode().decode(page)
+        return text
+
+    for page in ("latin-1", "iso8859_15", "mac_roman"):
+        for times in range(1, 9):
+            assert mojibake.repair(f"so {deep('é', page, times)} da") == "so é da", (page, times)
+    parts = [deep("é", page, 2) for page in ("cp437", "cp850", "mac_roman", "latin-1")]
+    assert mojibake.repair(" word ".join(parts)) == "é word é word é word é"
+
+
 @pytest.mark.parametrize("meant", ["cp1250", "iso8859_2"])
 @pytest.mark.parametrize("seen", ["cp1252", "latin-1"])
 def test_gate_keeps_every_pair_of_polish_letters(meant, seen):
