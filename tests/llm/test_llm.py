@@ -64,6 +64,17 @@ def test_long_and_broken_spans(before, span, after, want, clean):
     assert markup.render(before + span + after, nodes) == before + clean + after
 
 
+@pytest.mark.parametrize("a, b, span", [("**", "**", 2), ("```\n", "\n```", 0), ("<b>", "</b>", 0), ("\\begin{x}", "\\end{x}", 0)])
+def test_shares_count_the_whole_node(a, b, span):
+    inner = "." * 500 + "ab1^=" * 300
+    text = "é\n" + a + inner + b
+    nodes = markup.tree(text)
+    n, row = next((n, r) for n, r in zip(nodes, markup.features(text, nodes)) if n.end == len(text) and n.start == 2)
+    whole = text[n.start + span : n.end - span]
+    for name, want in (("letters", str.isalpha), ("digits", str.isdigit), ("formula_signs", "\\^_{}=+".__contains__)):
+        assert row[markup.FEATURES.index(name)] == pytest.approx(sum(map(want, whole)) / len(whole)), name
+
+
 @pytest.mark.parametrize("mark", ["**", "*", "_", "~~", "<b ", "$", "x_{", "</b\n"])
 def test_unclosed_marks_are_scanned_once(mark):
     began = time.process_time()

@@ -13,7 +13,9 @@ from __future__ import annotations
 import html.entities
 import math
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 FAMILIES = ("markdown", "html", "wiki", "latex")
 MD, HTML, WIKI, TEX = range(4)
@@ -154,7 +156,7 @@ def _char_class(text: str, i: int) -> int:
 _ENTITIES = frozenset(k for k in html.entities.html5 if k.endswith(";"))
 _NAME = re.compile(r"[A-Za-z]+")
 _INNER = {_ID["star"]: 2, _ID["under"]: 2, _ID["inline"]: 1, _ID["wquote"]: 2, _ID["code"]: 2}
-_SIGNS = re.compile(r"[\\^_{}=+]")
+_CLASSES = (str.isalpha, str.isdigit, frozenset("\\^_{}=+").__contains__)
 
 
 def _known(n: Node, raw: str) -> int:
@@ -185,15 +187,18 @@ def features(text: str, nodes: list[Node]) -> list[list[float]]:
         same[(key, -1)] = place[id(n)] + 1
         same[(key, n.kind)] = same.get((key, n.kind), 0) + 1
         roots += n.parent is None
+    sums: list[array] = []  # characters of each class before each place, made when a long node needs them
     rows = []
     for n in nodes:
         raw = n.match.group() if n.kind != ELEMENT else text[n.start : n.end]
         g = _INNER.get(n.kind)
-        inner = n.match.group(g) if g else raw
-        head = inner[:400]
-        size_head = len(head)
-        letters = sum(map(str.isalpha, head))
-        digits = sum(map(str.isdigit, head))
+        a, b = n.match.span(g) if g else (n.start, n.end)
+        inner = text[a:b] if g else raw
+        if b - a > 400:
+            sums = sums or [array("i", accumulate(map(f, text), initial=0)) for f in _CLASSES]
+            letters, digits, signs = [(s[b] - s[a]) / (b - a) for s in sums]
+        else:
+            letters, digits, signs = [sum(map(f, inner)) / (b - a) for f in _CLASSES]
         span = n.end - n.start
         key = id(n.parent) if n.parent else 0
         name = NAMES[n.kind]
@@ -208,10 +213,10 @@ def features(text: str, nodes: list[Node]) -> list[list[float]]:
         rows.append(
             [
                 n.kind, FAMILY[n.kind], math.log1p(span), raw.count("\n"), _char_class(text, n.start - 1), _char_class(text, n.end),
-                inner[:1].isspace(), inner[-1:].isspace(), letters / size_head, digits / size_head, inner.count(" ") + 1, _known(n, raw),
+                inner[:1].isspace(), inner[-1:].isspace(), letters, digits, inner.count(" ") + 1, _known(n, raw),
                 raw.count("="), closed, n.start == 0 or text[n.start - 1] == "\n", n.end == len(text) or text[n.end] == "\n",
                 n.depth, n.parent.kind if n.parent else -1, same[(key, -1)], same[(key, n.kind)], size[id(n)],
-                sum(c.end - c.start for c in n.children) / span, place[id(n)], len(_SIGNS.findall(head)) / size_head,
+                sum(c.end - c.start for c in n.children) / span, place[id(n)], signs,
             ]
         )
     return rows
