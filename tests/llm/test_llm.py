@@ -75,6 +75,21 @@ def test_shares_count_the_whole_node(a, b, span):
         assert row[markup.FEATURES.index(name)] == pytest.approx(sum(map(want, whole)) / len(whole)), name
 
 
+@pytest.mark.parametrize("text, kind, want", [
+    ("<a href='/x' class = \"b c\"\n target=_blank download zz>a=b=c <i>x=1</i></a>", "element", (5, 4, 2)),
+    ("<a href='/x' class = \"b c\"\n target=_blank download zz>a=b=c", "tag", (5, 4, 2)),
+    ("<img data-x='1' src=\"a=b.png\"/>", "tag", (2, 2, 2)),
+    ("<b and then we go on>", "tag", (5, 0, 0)),
+    ("</b>", "tag", (0, 0, 0)),
+    ("== a = b ==", "whead", (0, 0, 0)),
+])
+def test_attributes_are_those_of_the_opening_tag(text, kind, want):
+    nodes = markup.tree(text)
+    row = next(r for n, r in zip(nodes, markup.features(text, nodes)) if markup.NAMES[n.kind] == kind)
+    assert len(row) == len(markup.FEATURES)
+    assert tuple(row[markup.FEATURES.index(f)] for f in ("attributes", "known_attributes", "quoted_attributes")) == want
+
+
 @pytest.mark.parametrize("mark", ["**", "*", "_", "~~", "<b ", "$", "x_{", "</b\n"])
 def test_unclosed_marks_are_scanned_once(mark):
     began = time.process_time()

@@ -23,6 +23,7 @@ MD, HTML, WIKI, TEX = range(4)
 #: Names that the languages define (fixed values).
 TAGS = frozenset("a abbr b blockquote br button caption center cite code col dd del details div dl dt em figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav ol option p pre q ref s samp script section select small source span strike strong style sub summary sup table tbody td textarea tfoot th thead title tr tt u ul var video".split())
 COMMANDS = frozenset("alpha begin beta bf bibitem big binom bm caption cdot cdots chapter cite citep citet cos dfrac ddots delta documentclass dots em emph end epsilon eqref eta exp footnote forall frac gamma geq ge hat hline href hspace hfill include includegraphics infty input int in item it iota kappa label lambda large ldots left leq le lim ln log max mathbb mathbf mathcal mathrm mathit min mu nabla ne neq newcommand newline newpage noindent nu omega overline page pageref paragraph partial phi pi pm prod psi quad qquad ref rho right rightarrow section sigma sin sqrt subsection subsubsection sum tau tan text textbf textit textrm texttt textsc tfrac theta times title to underline url usepackage varepsilon varphi vdots vec verb vspace wedge xi zeta".split())
+ATTRIBUTES = frozenset("abbr accept action align alt autocomplete bgcolor border cellpadding cellspacing charset checked cite class color cols colspan content controls data datetime dir disabled download face for frameborder headers height hidden href hreflang id lang language media method name onclick onload placeholder rel role rows rowspan scope selected size span src srcset start style summary tabindex target title type usemap valign value width xmlns".split())
 NAMESPACES = "File|Image|Media|Category|Datei|Bild|Kategorie|Fichier|Catégorie|Archivo|Categoría|Ficheiro|Categoria|Файл|Категория|Plik|Kategoria"
 
 # name, family, opaque (what stands inside is content), characters that must occur, pattern
@@ -74,7 +75,7 @@ ELEMENT = len(CONSTRUCTS)
 _ID = {n: i for i, n in enumerate(NAMES)}
 TAG, QUOTE = _ID["tag"], _ID["quote"]
 _BLOCK_FIRST = {_ID[n] for n in ("fence", "comment", "wtable", "env", "display", "template", "table")}
-FEATURES = ("construct", "family", "log_length", "newlines", "before", "after", "inner_first_blank", "inner_last_blank", "letters", "digits", "words", "known", "attributes", "closed", "line_start", "line_end", "depth", "parent", "siblings", "same_siblings", "subtree", "density", "position", "formula_signs")
+FEATURES = ("construct", "family", "log_length", "newlines", "before", "after", "inner_first_blank", "inner_last_blank", "letters", "digits", "words", "known", "attributes", "known_attributes", "quoted_attributes", "equals", "closed", "line_start", "line_end", "depth", "parent", "siblings", "same_siblings", "subtree", "density", "position", "formula_signs")
 
 
 class Node:
@@ -171,6 +172,21 @@ def _known(n: Node, raw: str) -> int:
     return 0
 
 
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
+
+
+def _attributes(n: Node) -> tuple[int, int, int]:
+    """Attributes of a tag, or of an element's opening tag: how many there are,
+    how many have a name that HTML defines, and how many a quoted value."""
+    if n.kind != TAG and n.kind != ELEMENT:
+        return 0, 0, 0
+    tag = n.match.group()
+    m = _OPEN.match(tag)
+    found = _ATTRIBUTE.findall(tag, m.end(), len(tag) - 1) if m else []
+    known = sum(k.lower() in ATTRIBUTES or k.lower().startswith(("data-", "aria-")) for k, _ in found)
+    return len(found), known, sum(v[:1] in ('"', "'") for _, v in found if v)
+
+
 def features(text: str, nodes: list[Node]) -> list[list[float]]:
     """One row of FEATURES per node."""
     size: dict[int, int] = {}
@@ -214,7 +230,7 @@ def features(text: str, nodes: list[Node]) -> list[list[float]]:
             [
                 n.kind, FAMILY[n.kind], math.log1p(span), raw.count("\n"), _char_class(text, n.start - 1), _char_class(text, n.end),
                 inner[:1].isspace(), inner[-1:].isspace(), letters, digits, inner.count(" ") + 1, _known(n, raw),
-                raw.count("="), closed, n.start == 0 or text[n.start - 1] == "\n", n.end == len(text) or text[n.end] == "\n",
+                *_attributes(n), raw.count("="), closed, n.start == 0 or text[n.start - 1] == "\n", n.end == len(text) or text[n.end] == "\n",
                 n.depth, n.parent.kind if n.parent else -1, same[(key, -1)], same[(key, n.kind)], size[id(n)],
                 sum(c.end - c.start for c in n.children) / span, place[id(n)], signs,
             ]
