@@ -6,7 +6,7 @@ import pytest
 from weftgraph.lang.errors import QueryError
 from weftgraph.operators import health
 from weftgraph.operators import search as S
-from weftgraph.operators.context import context, expand, induced_edges
+from weftgraph.operators.context import context, expand, induced_edges, resolve_seeds
 from weftgraph.plans.server import ToolServer, serve
 from weftgraph.sources import formats
 from weftgraph.sources.graph import Graph
@@ -83,6 +83,17 @@ def test_context_budget(ring):
     assert e.value.code == "context_seed_not_found"
 
 
+def test_seeds_beside_a_path_of_very_many_nodes(spark):
+    many = spark.range(1, 12_001).selectExpr("id", "'page.md' AS path", "if(id = 11999, ' Current', 'missing') AS status")
+    few = spark.createDataFrame([(20_001, "two.md", "current"), (20_002, "two.md", "current"), (20_003, "one.md", "missing"), (20_004, "null.md", None)], "id bigint, path string, status string")
+    g = Graph(spark).with_nodes("P", many.unionByName(few).coalesce(1))
+    assert resolve_seeds(g, [20_004], ["page.md", "one.md", "null.md"]) == ([20_004, 11_999, 20_003], ["context_seed_duplicate", "context_seed_stale"])
+    for path, code in (("two.md", "context_seed_path_ambiguous"), ("no.md", "context_seed_path_not_found")):
+        with pytest.raises(QueryError) as e:
+            resolve_seeds(g, [], ["page.md", path])
+        assert e.value.code == code
+
+
 def test_health(spark):
     docs = spark.createDataFrame([(1, "r", "a", "md", "h", "current", "t", ["x"], []), (2, "r", "b", "md", "", " Current", "t", ["x"], ["t"]), (3, "r", "c", "md", "h", "missing", None, None, None)], "id bigint, root string, path string, ext string, source_hash string, status string, title string, aliases array<string>, tags array<string>")
     edges = spark.createDataFrame([(1, 1, 1, "md_links_to"), (2, 2, 9, "md_in_directory"), (3, 1, 8, "md_up"), (4, 1, 8, "md_up")], "id bigint, src bigint, dst bigint, etype string")

@@ -61,27 +61,29 @@ def resolve_seeds(g: Graph, ids: list[int] = (), paths: list[str] = ()) -> tuple
     df, kinds = g.scan_nodes((), ["path", "status"], "n")
     path = F.col("`n·path`") if "path" in kinds else F.lit(None).cast("string")
     status = F.col("`n·status`") if "status" in kinds else F.lit("current")
-    rows = df.where(F.col("n").isin(list(ids)) | path.isin(list(paths))).select("n", path.alias("path"), F.lower(F.trim(status)).alias("status"), F.col("`n·labels`").alias("labels"))
-    found = rows.limit(10_000).collect()  # a handful per seed asked for
-    by_id = {r["n"]: r for r in found}
+    rows = df.select("n", path.alias("path"), F.lower(F.trim(status)).alias("status"))
+    current = F.when(F.col("status") == "current", F.col("n"))
+    counted = [F.count("n").alias("nodes"), F.min("n").alias("n"), F.min("status").alias("status"), F.count(current).alias("currents"), F.min(current).alias("current")]
+    # one row per seed asked for, however many nodes have its path
+    states = {r["n"]: r["status"] for r in rows.where(F.col("n").isin(list(ids))).groupBy("n").agg(F.min("status").alias("status")).collect()} if ids else {}
+    at = {r["path"]: r for r in rows.where(F.col("path").isin(list(paths))).groupBy("path").agg(*counted).collect()} if paths else {}
     out, warn = [], []
     for i in ids:
-        if i not in by_id:
+        if i not in states:
             raise QueryError("context_seed_not_found", f"no node {i}")
         out.append(i)
     for p in paths:
-        hits = [r for r in found if r["path"] == p]
-        if not hits:
+        hit = at.get(p)
+        if hit is None:
             raise QueryError("context_seed_path_not_found", f"no node with path {p}")
-        if len(hits) > 1:
-            hits = [r for r in hits if r["status"] == "current"]
-            if len(hits) != 1:
-                raise QueryError("context_seed_path_ambiguous", f"several nodes have path {p}")
-        out.append(hits[0]["n"])
+        if hit["nodes"] > 1 and hit["currents"] != 1:
+            raise QueryError("context_seed_path_ambiguous", f"several nodes have path {p}")
+        out.append(hit["n"] if hit["nodes"] == 1 else hit["current"])
+        states[out[-1]] = hit["status"] if hit["nodes"] == 1 else "current"
     if len(set(out)) < len(out):
         warn.append("context_seed_duplicate")
     seeds = list(dict.fromkeys(out))
-    if any(by_id[s]["status"] not in (None, "current") for s in seeds if s in by_id):
+    if any(states[s] not in (None, "current") for s in seeds):
         warn.append("context_seed_stale")
     return seeds, warn
 
