@@ -48,6 +48,14 @@ def test_against_sql(spark, duck, name):
     assert got == Counter(repr([plain(r[names.index(c)]) for c in cols]) for r in cur.fetchall())
 
 
+def test_snapshots_of_the_counts(spark):
+    rows = entry.queries()["p3_snapshots"](spark, DATA).collect()
+    cols = ["ref_table", "kind", "ref_month", "n_refs"]
+    by_batch = {k: Counter(tuple(r[c] for c in cols) for r in rows if r["batch_no"] == k) for k in {r["batch_no"] for r in rows}}
+    assert set(by_batch) == {1, 2, 3} and by_batch[1] != by_batch[3]
+    assert by_batch[3] == Counter(tuple(r[c] for c in cols) for r in entry.queries()["p3_counts"](spark, DATA).collect())
+
+
 def test_core_stands_without_the_corpus_operators():
     for f in glob.glob("weftgraph/**/*.py", root_dir=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), recursive=True):
         if "/llm/" not in f:

@@ -116,10 +116,15 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphan_state(spark, d).counts()
 
 
+def p3_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The counts after each load period, so also of orphans resolved later."""
+    return orphan_state(spark, d).snapshots()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "context_nodes").select("snapshot_no", "loaded_at", "root", normal_path(F.col("path")).alias("path"), tidy("source_hash").alias("source_hash"), tidy("src_status").alias("src_status"))
     out = changes(rows, "root", "path", "snapshot_no", ["loaded_at"], ["source_hash", "src_status"])
     return out.select("snapshot_no", "root", "path", "change_kind")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_counts, p6_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_counts, p3_snapshots, p6_found)}
