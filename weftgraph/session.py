@@ -3,18 +3,22 @@
 Iterative operators cut their lineage by writing a table into the folder that
 the cluster names in ``spark.checkpoint.dir`` and reading it back.  Parquet
 files there outlive an executor, so a lost executor costs a re-read and not a
-recomputation of every earlier round.
+recomputation of every earlier round.  Tables go when nothing reads them any
+more: an operator drops its own intermediate ones, ``scratch_scope`` those of a
+finished query, and the end of the session all that are left.
 """
 
 from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,21 +55,29 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared scratch folder of this session.
+    """The shared scratch folder of this session, read from ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset,
-    as in tests on one machine, a temporary folder is made for the process.
+    A cluster must name it: a folder of one machine would lose tables with that
+    machine, so without the setting this fails.  Only a session whose tasks all
+    run in this one process (master ``local``, as in tests) gets a folder of its
+    own.
     """
     global _OWN_DIR
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = tempfile.mkdtemp(prefix="weftgraph-")
         atexit.register(shutil.rmtree, _OWN_DIR, ignore_errors=True)
     return f"file://{_OWN_DIR}"
 
 
+#: Folders of written tables that were not deleted yet, with the session's file settings.
+_OPEN: dict[str, "Scratch"] = {}
+
+
 class Scratch:
     """A set of written tables that belong to one run of an operator."""
 
@@ -74,12 +86,16 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/weftgraph/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def write(self, df: DataFrame, name: str = "t") -> "Table":
+    def write(self, df: DataFrame, name: str = "t", by: list[str] | None = None) -> "Table":
         """Write ``df`` and return a handle whose lineage starts at the files."""
         self._n += 1
         path = f"{self.base}/{self._n:03d}-{name}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, partitionBy=by)
+        if self.base not in _OPEN:
+            _OPEN[self.base] = self
+            fs, p = _file_system(self.spark, self.base)
+            fs.deleteOnExit(p)  # also where this process ends without its own exit handlers
         return Table(self.spark, path, schema)
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -87,7 +103,28 @@ class Scratch:
 
     def close(self) -> None:
         """Delete every table of this run; call only when none is read again."""
-        _delete(self.spark, self.base)
+        if _OPEN.pop(self.base, None) is not None:
+            _delete(self.spark, self.base)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables written within; results must be stored by then."""
+    before = set(_OPEN)
+    try:
+        yield
+    finally:
+        for base in [b for b in _OPEN if b not in before]:
+            _OPEN[base].close()
+
+
+@atexit.register
+def _sweep() -> None:
+    for s in list(_OPEN.values()):
+        try:
+            s.close()
+        except Exception:  # the JVM is gone and has deleted them itself
+            return
 
 
 class Table:
@@ -101,7 +138,12 @@ class Table:
         _delete(self.spark, self.path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
+    return p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration() if spark.sparkContext._jsc is None else spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
