@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.session import Scratch
+
+#: Repeated ids up to this many are broadcast (under 150 bytes each); more are shuffled.
+REPEATED_IDS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data directory."""
@@ -40,6 +45,23 @@ def current_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*dict.fromkeys(["id", *columns]))
 
 
+def current_wide(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Like ``current_documents``, for long columns: they stay where they are read.
+
+    Only ids that have several rows need a decision.  It is made on the stamps
+    and the place of each row in its file; ``docs`` must be read from files.
+    """
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    last = F.max(F.struct("synced_at", "loaded_at", "__file", "__row")).alias("b")
+    stamps = docs.select("id", "synced_at", "loaded_at", *place).where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"), last)
+    best = Scratch(docs.sparkSession, "current").cut(stamps.where("n > 1").select("id", F.col("b.__file").alias("f"), F.col("b.__row").alias("r")), "repeated")
+    if best.count() <= REPEATED_IDS:
+        best = F.broadcast(best)
+    rows = docs.select(*dict.fromkeys(["id", *columns]), *place).where("id IS NOT NULL")
+    chosen = F.col("f").isNull() | ((F.col("f") == F.col("__file")) & (F.col("r") == F.col("__row")))
+    return rows.join(best, "id", "left").where(chosen).select(*dict.fromkeys(["id", *columns]))
+
+
 def live_edges(edges: DataFrame, columns: list[str]) -> DataFrame:
     """Live edges, redeliveries counted once, with ``etype`` in tidy form."""
     keep = list(dict.fromkeys(["id", "loaded_at", "edge_type", "status", "valid_to", *columns]))
