@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-
-@F.pandas_udf(StringType())
-def _compose(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC.  Only strings that hold characters beyond ASCII go to Python."""
-    return F.coalesce(_compose(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
+    """Unicode NFC, composed in the JVM by the library that Spark sorts texts with.
+
+    Strings of ASCII only are passed on as they are.
+    """
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when(c.rlike(r"[^\x00-\x7f]"), composed).otherwise(c)
 
 
 def normal_path(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.paths import is_path_target, normal_path, path_key, target_key
 from weftgraph.operators.hierarchy import descendants, parent_links, resolve
-from weftgraph.operators.orphans import OrphanState
+from weftgraph.operators.orphans import SHARED, OrphanState
 from weftgraph.operators.snapshots import changes
 from weftgraph.session import Scratch
 from weftgraph.sources.tables import live_edges, table, tidy
@@ -57,55 +57,39 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return _union([descendants(r).select(F.lit(n).alias("forest"), F.col("ancestor").alias("node_id"), F.col("descendant").alias("descendant_id"), "distance") for n, r in _with_paths(spark, d)])
 
 
-def _orphan_batches(spark: SparkSession, d: str, slices: int):
-    """Parents and references of the vault tables, cut into load periods."""
+def _vault_loads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parents and references of the vault tables with their load month; keyed once."""
     docs, dirs = table(spark, d, "md_documents"), table(spark, d, "md_directories")
     refs, edges = table(spark, d, "md_link_refs"), table(spark, d, "graph_edges")
-    lo, hi = refs.agg(F.min("loaded_at"), F.max("loaded_at")).first()
-    cuts = [] if lo is None else [lo + (hi - lo) * k / slices for k in range(1, slices)]
-
-    pages = table(spark, d, "canon_pages").select(F.concat(F.lit("*\n"), path_key(normal_path(F.col("path")))).alias("key")).distinct()
-    doc_rows = docs.select("id", "root", "path", "status", "valid_from", "synced_at", "loaded_at", "links")
-    doc_refs = doc_rows.select("id", "root", "path", "synced_at", "loaded_at", F.posexplode_outer("links").alias("pos", "target"))
-
-    def key(root: str, target: str, path: str):
-        return F.when(is_path_target(F.col(target)), F.concat(F.col(root), F.lit("\n"), target_key(F.col(target), F.col(path))))
-
-    link_refs = refs.select(F.lit("md_link_refs").alias("ref_table"), F.col("ref_id").alias("row_key"), F.lit(0).cast("bigint").alias("pos"), F.lit(None).cast("timestamp").alias("version"), key("root", "raw_target", "src_path").alias("key"), F.col("seen_at").alias("ref_time"), "loaded_at")
-    own_refs = doc_refs.select(F.lit("md_documents").alias("ref_table"), F.col("id").alias("row_key"), F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos"), F.col("synced_at").alias("version"), key("root", "target", "path").alias("key"), F.col("synced_at").alias("ref_time"), "loaded_at")
-    kept = ["id", "loaded_at", "dst", "valid_from", "status", "valid_to"]
-    live = edges.select(*kept).where((tidy("status") == "current") & F.col("valid_to").isNull())
-    edge_refs = live.select(F.lit("graph_edges").alias("ref_table"), F.col("id").alias("row_key"), F.lit(0).cast("bigint").alias("pos"), F.lit(None).cast("timestamp").alias("version"), F.concat(F.lit("#\n"), F.col("dst").cast("string")).alias("key"), F.col("valid_from").alias("ref_time"), "loaded_at")
-    # references to handbook pages always hold: taken out before they enter the state
-    known = pages.select(F.split("key", "\n")[1].alias("page"))
-    if known.limit(10_001).count() <= 10_000:
-        known = F.broadcast(known)
-    text_refs = link_refs.unionByName(own_refs).withColumn("page", F.split("key", "\n")[1])
-    held = text_refs.join(known.withColumn("held", F.lit(True)), "page", "left").withColumn("key", F.when(F.col("held").isNull(), F.col("key"))).drop("held", "page")
-    all_refs = held.unionByName(edge_refs)
+    none, zero, period = F.lit(None).cast("timestamp"), F.lit(0).cast("bigint"), F.date_format("loaded_at", "yyyy-MM").alias("period")
 
-    gone = F.coalesce(tidy("status") == "missing", F.lit(False)).alias("deleted")
-    by_path = doc_rows.select(F.concat(F.lit("p"), F.col("id")).alias("parent_id"), F.concat(F.col("root"), F.lit("\n"), path_key(normal_path(F.col("path")))).alias("key"), gone, "valid_from", F.col("synced_at").alias("version"), "loaded_at")
-    by_id = doc_rows.select(F.concat(F.lit("d"), F.col("id")).alias("parent_id"), F.concat(F.lit("#\n"), F.col("id")).alias("key"), gone, "valid_from", F.col("synced_at").alias("version"), "loaded_at")
-    by_dir = dirs.select(F.concat(F.lit("f"), F.col("id")).alias("parent_id"), F.concat(F.lit("#\n"), F.col("id")).alias("key"), gone, "valid_from", F.lit(None).cast("timestamp").alias("version"), F.lit(None).cast("timestamp").alias("loaded_at"))
-    parents = by_path.unionByName(by_id).unionByName(by_dir)
+    def keys(rows: DataFrame, root: str, target: str, path: str) -> DataFrame:
+        key = F.when(is_path_target(F.col(target)), target_key(F.col(target), F.col(path)))
+        rows = rows.withColumn("__key", key)
+        return rows.withColumn("key", F.concat(F.col(root), F.lit("\n"), "__key")).withColumn("shared", F.concat(F.lit(SHARED), "__key"))
+
+    link_refs = keys(refs, "root", "raw_target", "src_path").select(F.lit("md_link_refs").alias("ref_table"), F.col("ref_id").alias("row_key"), zero.alias("pos"), none.alias("version"), "key", "shared", F.col("seen_at").alias("ref_time"), period)
+    own = docs.select("id", "root", "path", "synced_at", "loaded_at", F.posexplode_outer("links").alias("pos", "target"))
+    own_refs = keys(own, "root", "target", "path").select(F.lit("md_documents").alias("ref_table"), F.col("id").alias("row_key"), F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos"), F.coalesce("synced_at", F.lit("0001-01-01").cast("timestamp")).alias("version"), "key", "shared", F.col("synced_at").alias("ref_time"), period)
+    live = edges.where((tidy("status") == "current") & F.col("valid_to").isNull())
+    edge_refs = live.select(F.lit("graph_edges").alias("ref_table"), F.col("id").alias("row_key"), zero.alias("pos"), none.alias("version"), F.concat(F.lit("#\n"), F.col("dst").cast("string")).alias("key"), F.lit(None).cast("string").alias("shared"), F.col("valid_from").alias("ref_time"), period)
 
-    bounds = [None, *cuts, None]
-    for a, b in zip(bounds, bounds[1:]):
-        cond = F.lit(True)
-        if a is not None:
-            cond = cond & (F.col("loaded_at") > F.lit(a))
-        if b is not None:
-            cond = cond & (F.col("loaded_at") <= F.lit(b)) if a is not None else (F.col("loaded_at") <= F.lit(b)) | F.col("loaded_at").isNull()
-        yield parents.where(cond).drop("loaded_at"), all_refs.where(cond).drop("loaded_at")
+    gone = F.coalesce(tidy("status") == "missing", F.lit(False)).alias("deleted")
+    by_path = F.concat(F.col("root"), F.lit("\n"), path_key(normal_path(F.col("path"))))
+    by_id = F.concat(F.lit("#\n"), F.col("id").cast("string"))
+    both = F.explode(F.array(F.struct(F.lit("p").alias("w"), "by_path"), F.struct(F.lit("d").alias("w"), F.col("by_id").alias("by_path"))))
+    doc_rows = docs.select("id", by_path.alias("by_path"), by_id.alias("by_id"), gone, "valid_from", F.col("synced_at").alias("version"), period)
+    doc_rows = doc_rows.withColumn("k", both).select(F.concat("k.w", F.col("id").cast("string")).alias("parent_id"), F.col("k.by_path").alias("key"), "deleted", "valid_from", "version", "period")
+    no_period = F.lit(None).cast("string").alias("period")
+    dir_rows = dirs.select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("parent_id"), by_id.alias("key"), gone, "valid_from", none.alias("version"), no_period)
+    # a page stands at the same path in every vault and always did
+    pages = table(spark, d, "canon_pages").select(F.concat(F.lit("c"), F.col("canon_id").cast("string")).alias("parent_id"), F.concat(F.lit(SHARED), path_key(normal_path(F.col("path")))).alias("key"), F.lit(False).alias("deleted"), none.alias("valid_from"), none.alias("version"), no_period)
+    return doc_rows.unionByName(dir_rows).unionByName(pages), link_refs.unionByName(own_refs).unionByName(edge_refs)
 
 
-def orphan_state(spark: SparkSession, d: str, slices: int = 3) -> OrphanState:
-    """The state after all load periods of the vault tables."""
-    state = OrphanState(spark)
-    for parents, refs in _orphan_batches(spark, d, slices):
-        state.apply(parents, refs)
-    return state
+def orphan_state(spark: SparkSession, d: str) -> OrphanState:
+    """The state after all load months of the vault tables."""
+    return OrphanState(spark).apply(*_vault_loads(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +101,7 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """The counts after each load period, so also of orphans resolved later."""
+    """The counts at the end of each load month, so also of orphans resolved later."""
     return orphan_state(spark, d).snapshots()
 
 

@@ -65,40 +65,49 @@ def _fold(x: str) -> str:
 
 _BARE = r"regexp_replace(regexp_extract(target, '^([^|?#]*)', 1), '^\s+|\s+$', '', 'g')"
 
-P3_FOUND = f"""
-WITH doc AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY synced_at DESC NULLS LAST, loaded_at DESC) AS rn FROM md_documents) t WHERE rn = 1),
+def _orphans(m: str, start: str, source: str) -> str:
+    """The orphans; with a column ``m`` of load months, those open at the end of each."""
+    by, on, cols = (f"{m}, ", f"x.{m} = y.{m} AND ", f"{m}, ") if m else ("", "", "")
+    return f"""
+WITH {start} doc AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}id ORDER BY synced_at DESC NULLS LAST, loaded_at DESC) AS rn FROM {source.format('md_documents')}) t WHERE rn = 1),
 ref AS (
-  SELECT 'md_link_refs' AS ref_table, ref_id AS row_key, 0 AS pos, root, any_value(src_path) AS home, any_value(raw_target) AS target, any_value(seen_at) AS ref_at
-  FROM md_link_refs GROUP BY ref_id, root
+  SELECT {cols}'md_link_refs' AS ref_table, ref_id AS row_key, 0 AS pos, root, any_value(src_path) AS home, any_value(raw_target) AS target, any_value(seen_at) AS ref_at
+  FROM {source.format('md_link_refs')} GROUP BY {by}ref_id, root
   UNION ALL
-  SELECT 'md_documents', id, u.pos - 1, root, path, links[u.pos], synced_at FROM doc, LATERAL (SELECT unnest(generate_series(1, len(links))) AS pos) u),
+  SELECT {cols}'md_documents', id, u.pos - 1, root, path, links[u.pos], synced_at FROM doc, LATERAL (SELECT unnest(generate_series(1, len(links))) AS pos) u),
 cut AS (SELECT *, {_BARE} AS bare FROM ref),
 dec AS (
-  SELECT *, {_normal("url_decode(bare)")} AS t0, replace(regexp_replace(nfc_normalize(url_decode(bare)), '^\\s+|\\s+$', '', 'g'), '\\', '/') AS t
+  SELECT *, replace(regexp_replace(nfc_normalize(url_decode(bare)), '^\\s+|\\s+$', '', 'g'), '\\', '/') AS t
   FROM cut WHERE NOT contains(target, '://') AND (contains(bare, '/') OR contains(bare, '\\') OR regexp_matches(lower(bare), '\\.mdx?$'))),
 keyed AS (
   SELECT *, CASE WHEN starts_with(t, './') OR starts_with(t, '../')
     THEN regexp_replace({_normal("home")}, '[^/]*$', '') || t ELSE t END AS whole FROM dec),
-probe AS (SELECT ref_table, row_key, pos, root, ref_at, {_key(_fold("whole"))} AS k FROM keyed),
+probe AS (SELECT {cols}ref_table, row_key, pos, root, ref_at, {_key(_fold("whole"))} AS k FROM keyed),
 canon AS (SELECT DISTINCT {_key(_normal("path"))} AS k FROM canon_pages),
 idx AS (
-  SELECT root, {_key(_normal("path"))} AS k, min(valid_from) FILTER (WHERE lower(trim(status)) <> 'missing') AS since FROM doc GROUP BY 1, 2),
+  SELECT {cols}root, {_key(_normal("path"))} AS k, min(valid_from) FILTER (WHERE lower(trim(status)) <> 'missing') AS since FROM doc GROUP BY ALL),
 edge AS (
-  SELECT id, any_value(dst) AS dst, any_value(valid_from) AS ref_at FROM graph_edges
-  WHERE lower(trim(status)) = 'current' AND valid_to IS NULL GROUP BY id),
+  SELECT {cols}id, any_value(dst) AS dst, any_value(valid_from) AS ref_at FROM {source.format('graph_edges')}
+  WHERE lower(trim(status)) = 'current' AND valid_to IS NULL GROUP BY {by}id),
 ids AS (
-  SELECT id, CASE WHEN lower(trim(status)) <> 'missing' THEN valid_from END AS since FROM doc
-  UNION ALL SELECT id, CASE WHEN lower(trim(status)) <> 'missing' THEN valid_from END FROM md_directories),
+  SELECT {cols}id, CASE WHEN lower(trim(status)) <> 'missing' THEN valid_from END AS since FROM doc
+  UNION ALL SELECT {cols}id, CASE WHEN lower(trim(status)) <> 'missing' THEN valid_from END FROM md_directories{', month' if m else ''}),
 judged AS (
-  SELECT ref_table, row_key, pos, ref_at, CASE WHEN i.k IS NULL THEN 'missing' WHEN since IS NULL THEN 'deleted' WHEN since > ref_at THEN 'late' END AS kind
-  FROM probe p LEFT JOIN idx i ON i.root = p.root AND i.k = p.k WHERE p.k NOT IN (SELECT k FROM canon)
+  SELECT {'x.m, ' if m else ''}ref_table, row_key, pos, ref_at, CASE WHEN y.k IS NULL THEN 'missing' WHEN since IS NULL THEN 'deleted' WHEN since > ref_at THEN 'late' END AS kind
+  FROM probe x LEFT JOIN idx y ON {on}y.root = x.root AND y.k = x.k WHERE x.k NOT IN (SELECT k FROM canon)
   UNION ALL
-  SELECT 'graph_edges', e.id, 0, ref_at, CASE WHEN i.id IS NULL THEN 'missing' WHEN since IS NULL THEN 'deleted' WHEN since > ref_at THEN 'late' END
-  FROM edge e LEFT JOIN ids i ON i.id = e.dst WHERE e.dst IS NOT NULL)
-SELECT ref_table, row_key, pos::BIGINT AS pos, kind, strftime(ref_at, '%Y-%m') AS ref_month FROM judged WHERE kind IS NOT NULL"""
+  SELECT {'x.m, ' if m else ''}'graph_edges', x.id, 0, ref_at, CASE WHEN y.id IS NULL THEN 'missing' WHEN since IS NULL THEN 'deleted' WHEN since > ref_at THEN 'late' END
+  FROM edge x LEFT JOIN ids y ON {on}y.id = x.dst WHERE x.dst IS NOT NULL)
+SELECT {cols}ref_table, row_key, pos::BIGINT AS pos, kind, strftime(ref_at, '%Y-%m') AS ref_month FROM judged WHERE kind IS NOT NULL"""
 
+
+P3_FOUND = _orphans("", "", "{}")
 P3_COUNTS = f"SELECT ref_table, kind, ref_month, count(*) AS n_refs FROM ({P3_FOUND}) GROUP BY ALL"
+_MONTHS = """month AS (SELECT DISTINCT strftime(loaded_at, '%Y-%m') AS m FROM (SELECT loaded_at FROM md_documents
+  UNION ALL SELECT loaded_at FROM md_link_refs UNION ALL SELECT loaded_at FROM graph_edges WHERE lower(trim(status)) = 'current' AND valid_to IS NULL)),"""
+P3_SNAPSHOTS = f"""SELECT m AS load_period, ref_table, kind, ref_month, count(*) AS n_refs FROM (
+  {_orphans("m", _MONTHS, "(SELECT m, t.* FROM month JOIN {} t ON strftime(loaded_at, '%Y-%m') <= m)")}) GROUP BY ALL"""
 
 P6_FOUND = f"""
 WITH rec AS (
@@ -116,4 +125,4 @@ SELECT coalesce(n.snapshot_no, w.snapshot_no) AS snapshot_no, coalesce(n.root, w
 FROM now n FULL JOIN was w ON n.root = w.root AND n.path = w.path AND n.snapshot_no = w.snapshot_no
 WHERE w.path IS NULL OR n.path IS NULL OR n.hash IS DISTINCT FROM w.hash OR n.st IS DISTINCT FROM w.st"""
 
-SQL = {"p2_found": P2_FOUND, "p2_paths": P2_PATHS, "p2_descendants": P2_DESCENDANTS, "p3_found": P3_FOUND, "p3_counts": P3_COUNTS, "p6_found": P6_FOUND}
+SQL = {"p2_found": P2_FOUND, "p2_paths": P2_PATHS, "p2_descendants": P2_DESCENDANTS, "p3_found": P3_FOUND, "p3_counts": P3_COUNTS, "p3_snapshots": P3_SNAPSHOTS, "p6_found": P6_FOUND}
