@@ -2,8 +2,8 @@
 
 Large-basket blocking.  A basket of up to ``block`` items gives its pairs in
 the task that reads it.  A larger one is split into chunks of ``block`` items;
-the pairs of chunks are spread over the tasks, and each gives the pairs between
-its two chunks, so no task ever holds the pairs of a huge basket.  Counts of
+the pairs of chunk numbers are spread over the tasks and meet their chunks there,
+so no task ever holds the pairs, or copies, of a huge basket.  Counts of
 both kinds are combined before and after the shuffle.
 """
 
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import Scratch
+
 BLOCK = 64
 
 
@@ -34,15 +36,23 @@ def pair_counts(baskets: DataFrame, items: str, block: int = BLOCK) -> DataFrame
     sets = baskets.select(F.array_sort(F.array_distinct(F.array_compact(F.col(items)))).alias("s")).where(F.size("s") > 1)
     small = sets.where(F.size("s") <= block).select(F.explode(_own_pairs(F.col("s"))).alias("p"))
 
-    chunks = F.transform(F.sequence(F.lit(0), ((F.size("s") - 1) / block).cast("int")), lambda i: F.slice(F.col("s"), i * block + 1, block))
-    huge = sets.where(F.size("s") > block).select(chunks.alias("c"))
-    # one row per chunk with the chunks after it, then one per pair of chunks
-    left = huge.select(F.posexplode("c").alias("i", "a"), "c")
-    cross = left.select("a", F.explode(F.slice("c", F.col("i") + 1, F.size("c") - F.col("i"))).alias("b"))
-    spread = cross.repartition(F.xxhash64("a", "b"))
-    same = F.col("a") == F.col("b")
-    big = spread.select(F.explode(F.when(same, _own_pairs(F.col("a"))).otherwise(_pairs(F.col("a"), F.col("b")))).alias("p"))
-    pairs = small.unionByName(big)
+    # a large basket: its chunks are written once, only their numbers are paired
+    n = ((F.size("s") - 1) / block).cast("int")
+    huge = sets.where(F.size("s") > block).select(F.monotonically_increasing_id().alias("basket"), "s", n.alias("last"))
+    huge = huge.select("basket", "last", "s", F.explode(F.sequence(F.lit(0), "last")).alias("i"))
+    chunks = Scratch(baskets.sparkSession, "pairs").cut(huge.select("basket", "i", "last", F.slice("s", F.col("i") * block + 1, block).alias("c")), "chunks")
+    if chunks.isEmpty():
+        return _summed(small)
+    numbers = chunks.select("basket", "i", F.explode(F.sequence("i", "last")).alias("j")).repartition("basket", "i", "j")
+    a = chunks.select("basket", "i", F.col("c").alias("a"))
+    b = chunks.select("basket", F.col("i").alias("j"), F.col("c").alias("b"))
+    cross = numbers.join(a, ["basket", "i"]).join(b, ["basket", "j"])
+    own = F.col("i") == F.col("j")
+    big = cross.select(F.explode(F.when(own, _own_pairs(F.col("a"))).otherwise(_pairs(F.col("a"), F.col("b")))).alias("p"))
+    return _summed(small.unionByName(big))
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("p.x").alias("item_a"), F.col("p.y").alias("item_b")).agg(F.count(F.lit(1)).alias("n_both"))
 
 
