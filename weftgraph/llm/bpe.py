@@ -34,7 +34,7 @@ PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]
 _WIDE = re.compile(r"\s\s+")
 #: Stands for such a space while a text is cut.
 _HELD = "\ue000"
-#: Most pieces and words that a worker keeps; beyond it the memory starts anew.
+#: Most pieces, words and token pairs that a worker keeps; beyond it the memory starts anew.
 CACHE_ITEMS = 400_000
 
 
@@ -104,6 +104,8 @@ class TrieEncoder:
         """Encodings of pieces; each is kept under the piece itself."""
         if len(self._words) > CACHE_ITEMS:
             self._words.clear()
+        if len(self._fits) > CACHE_ITEMS:
+            self._fits.clear()
         cut = {p: [w.encode("utf-8", "replace") for w in self.pattern.findall(p.replace(_HELD, " "))] for p in texts}
         new = {w for ws in cut.values() for w in ws if w not in self._words}
         if new:

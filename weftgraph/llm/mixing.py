@@ -115,9 +115,13 @@ def mix(records: DataFrame, key: str, source: str, size: str, targets: DataFrame
     rows = rows.join(F.broadcast(copies), "src_name")
     buckets = max(1, math.ceil(sum(r["n"] for r in plan) / BUCKET_ROWS))
     rows = rows.withColumn("base", F.floor(F.col("c") + _EPS)).withColumn("p", F.greatest(F.lit(0.0), F.col("c") - F.col("base")))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(buckets)).cast("int"))
-    cols = ["src_name", "bucket", "rid", "w", "base", "p"]
-    schema = "src_name string, bucket int, rid bigint, w bigint, base bigint, p double"
+    # repeats of a record are one line here: of m with fraction p, floor(m p) get a copy more
+    # for sure, and the rest is one fraction to be rounded
+    rows = rows.groupBy("src_name", "rid", "w", "base").agg(F.count(F.lit(1)).alias("m"), F.first("p").alias("each"))
+    rows = rows.withColumn("sure", F.floor(F.col("m") * F.col("each") + _EPS)).withColumn("p", F.greatest(F.lit(0.0), F.col("m") * F.col("each") - F.col("sure")))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rid", "w"), F.lit(buckets)).cast("int"))
+    cols = ["src_name", "bucket", "rid", "w", "base", "m", "sure", "p"]
+    schema = "src_name string, bucket int, rid bigint, w bigint, base bigint, m bigint, sure bigint, p double"
     settled: list[DataFrame] = []
     level = rows.select(*cols)
     while True:
@@ -132,7 +136,15 @@ def mix(records: DataFrame, key: str, source: str, size: str, targets: DataFrame
     out = settled[0]
     for s in settled[1:]:
         out = out.unionByName(s)
-    n = (F.col("base") + F.col("p").cast("bigint")).alias("n_copies")
+    # the repeats as rows again, a record of very many in several tasks
+    out = out.withColumn("more", F.col("sure") + F.col("p").cast("bigint"))
+    if (out.agg(F.max("m")).first()[0] or 0) > BUCKET_ROWS:
+        out = out.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / BUCKET_ROWS)))).repartition("rid", "w", "block")
+        first = F.col("block") * BUCKET_ROWS
+        out = out.withColumn("k", F.explode(F.sequence(first, F.least(first + BUCKET_ROWS, F.col("m")) - 1)))
+    else:
+        out = out.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
+    n = (F.col("base") + (F.col("k") < F.col("more")).cast("bigint")).alias("n_copies")
     return out.select(F.col("rid").alias(key), F.col("src_name").alias(source), F.col("w").alias(size), n).where("n_copies > 0"), plan
 
 
