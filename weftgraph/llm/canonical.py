@@ -4,8 +4,12 @@ Partition-based pigeonhole join.  A string within ``k`` edits of a reference
 must contain one of any ``k + 1`` disjoint segments of it unchanged, at most
 ``k`` places from where it stands there.  Segments of the references meet the
 substrings of the names in an equality join; what meets is verified with the
-built-in ``levenshtein``, over the whole name and word by word.  Everything is
-SQL expressions; each distinct name is looked up once.
+built-in ``levenshtein``, over the whole and word by word.  What is compared is
+the name itself or the name without up to two words at either end.  Such outer
+words count as filler only if the data say so: the word is in no reference, and
+it stands around several different references.  Everything is SQL expressions;
+each distinct name is looked up once, what no reference takes comes out by an
+anti-join.
 """
 
 from __future__ import annotations
@@ -20,46 +24,55 @@ from weftgraph.session import Scratch
 
 #: Edits that a name may be away from its reference.
 MAX_EDITS = 4
-#: Words that people put around a name; part of the operator's parameters.
-LEADING = ("see", "the", "our", "cf", "re", "old", "new", "my", "a")
-TRAILING = ("page", "doc", "document", "note", "notes", "draft", "copy", "final", "overview", "old", "new", "wip", "v[0-9]+", "[0-9]{1,2}")
+#: Words that may be left out at each end of a name.
+OUTER_WORDS = 2
+#: Different references that a word must stand around to count as filler.
+MIN_FRAMED = 2
 #: A reference list up to this many rows is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 20_000
+#: Distinct names that one task cuts into substrings.
+NAMES_PER_TASK = 2_000
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKE = dict(zip("аеорсхуіјѕкмтвнԁαεοριν", "aeopcxyijskmtbhdaeopiv"))
 
 
-def _base_letters() -> tuple[str, str]:
+def base_letters() -> tuple[str, str]:
     """Accented Latin letters and the letters they carry, by decomposition."""
     pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
     pairs = [(a, b) for a, b in pairs if a != b and b.isascii()] + [("ø", "o"), ("ł", "l"), ("đ", "d"), ("ı", "i")] + list(LOOKALIKE.items())
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+#: A cut word's full stop while separators are removed.
+STOP = "\u0001"
+#: Steps of ``plain`` after lower case and base letters: what is replaced, by
+#: what, and how often in a row (neighbouring places share a letter).
+STEPS = (
+    ("\\p{M}|[\u00ad\u200b-\u200f\u2060\ufeff]", "", 1),
+    (r"^\s*([^,]+?)\s*,\s*([^\s,]+)((?:\s[^,]*)?)$", r"\2 \1\3", 1),
+    (r"(\p{L})0", r"\1o", 1), (r"0(\p{L}{2})", r"o\1", 1),
+    (r"(\p{L})1(\p{L})", r"\1l\2", 2), (r"(\p{L}{2})1", r"\1l", 1), (r"(^|[^\p{L}\p{N}_])1(\p{L}{2})", r"\1l\2", 1),
+    (r"(\p{L})5(\p{L})", r"\1s\2", 2),
+    (r"(\p{L})\.(\s)", rf"\1{STOP}\2", 1),
+    (rf"[^\p{{L}}\p{{N}}{STOP}]+", " ", 1),
+)
+
+
 def plain(c: Column) -> Column:
     """Lower-case words of a name, without accents, marks and separators.
 
-    ``Second, First`` is turned round, words joined by capitals are parted,
-    digits inside words are read as the letters they resemble.  A word cut with
-    a full stop keeps the stop.
+    What stands in brackets is left out, ``Second, First`` is turned round,
+    words joined by capitals are parted, digits inside words are read as the
+    letters they resemble.  A word cut with a full stop keeps the stop.
     """
-    a, b = _base_letters()
+    a, b = base_letters()
     x = F.regexp_replace(c, r"\([^)]*\)", " ")
     x = F.when(x.rlike(r"[\s_.,-]"), x).otherwise(F.regexp_replace(x, r"(\p{Ll})(\p{Lu})", "$1 $2"))
-    x = F.regexp_replace(F.translate(F.lower(x), a, b), r"\p{M}|[­​-‏⁠﻿]", "")
-    x = F.regexp_replace(x, r"^\s*([^,]+?)\s*,\s*([^\s,]+)((?:\s[^,]*)?)$", "$2 $1$3")
-    x = F.regexp_replace(x, r"(?<=\p{L})0|0(?=\p{L}{2})", "o")
-    x = F.regexp_replace(x, r"(?<=\p{L})1(?=\p{L})|(?<=\p{L}{2})1|\b1(?=\p{L}{2})", "l")
-    x = F.regexp_replace(x, r"(?<=\p{L})5(?=\p{L})", "s")
-    x = F.regexp_replace(x, r"(\p{L})\.(?=\s)", "$1\u0001")
-    x = F.regexp_replace(x, r"[^\p{L}\p{N}\u0001]+", " ")
-    return F.trim(F.regexp_replace(F.translate(x, "\u0001", "."), r"\s+", " "))
-
-
-def bare(c: Column) -> Column:
-    """A plain name without the filler words around it."""
-    x = F.regexp_replace(c, rf"^(?:(?:{'|'.join(LEADING)})\s+)+(?=\S+\s+\S)", "")
-    return F.regexp_replace(x, rf"(?<=\S\s\S{{1,60}})(?:\s+(?:{'|'.join(TRAILING)}))+$", "")
+    x = F.translate(F.lower(x), a, b)
+    for what, by, times in STEPS:
+        for _ in range(times):
+            x = F.regexp_replace(x, what, by.replace("\\", "$"))
+    return F.trim(F.translate(x, STOP, "."))
 
 
 def _squash(c: Column) -> Column:
@@ -76,6 +89,22 @@ def _segments(n: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k)), seg)
 
 
+def _windows(words: Column) -> Column:
+    """The name and its runs of at least two words that leave out outer words."""
+    def window(a: int, b: int) -> Column:
+        run = F.slice(words, a + 1, F.greatest(F.size(words) - a - b, F.lit(0)))
+        before = F.slice(words, 1, a) if a else F.expr("cast(array() as array<string>)")
+        after = F.slice(words, F.greatest(F.size(words) - b + 1, F.lit(1)), F.lit(b)) if b else F.expr("cast(array() as array<string>)")
+        joined = _squash(F.array_join(run, ""))
+        body = F.struct(
+            F.lit(a + b).alias("cut"), F.length(_squash(F.array_join(before, ""))).alias("off"), F.length(joined).alias("len"),
+            joined.alias("sq"), run.alias("words"), before.alias("before"), after.alias("after"),
+        )
+        return body if a + b == 0 else F.when(F.size(words) - a - b >= 2, body)
+
+    return F.array_compact(F.array(*[window(a, b) for a in range(OUTER_WORDS + 1) for b in range(OUTER_WORDS + 1)]))
+
+
 def _word_cost(typed: Column, ref: Column) -> Column:
     """Edits between two words; a cut word and swapped letters count 1, too many 99."""
     t = F.regexp_replace(typed, r"\.$", "")
@@ -92,17 +121,18 @@ def match(names: DataFrame, name: str, references: DataFrame, ref_id: str, ref_n
 
     ``names`` keeps its columns and rows, repeated ones too; ``match_id`` is
     added.  Null, blank and very short names match nothing; a null reference
-    name is no reference; empty tables give all -1 or no rows.  Where several
-    references are equally close, the smallest id is taken.  Names of any
-    length are looked at whole.
+    name is no reference; empty tables give all -1 or no rows.  A name whole
+    comes before a name without outer words; where several references are
+    equally close, the smallest id is taken.  Names of any length are looked at
+    whole.
     """
     spark = names.sparkSession
     scratch = Scratch(spark, "canonical")
-    rows = names.withColumn("__plain", F.coalesce(bare(plain(F.col(name))), F.lit("")))
+    rows = names.withColumn("__plain", F.coalesce(plain(F.col(name)), F.lit("")))
     rows = scratch.cut(rows, "names")
     distinct = scratch.cut(rows.groupBy("__plain").agg(F.count(F.lit(1)).alias("n")), "distinct")
 
-    refs = references.where(F.col(ref_name).isNotNull()).select(F.col(ref_id).alias("rid"), plain(F.col(ref_name)).alias("ref")).distinct()
+    refs = references.where(F.col(ref_name).isNotNull()).select(F.col(ref_id).cast("bigint").alias("rid"), plain(F.col(ref_name)).alias("ref")).distinct()
     refs = refs.withColumn("rsq", _squash("ref")).withColumn("rlen", F.length("rsq")).where("rlen > 0")
     refs = scratch.cut(refs.withColumn("edits", F.least(F.lit(k), F.greatest(F.lit(1), (F.col("rlen") / 3).cast("int")))), "references")
     segs = refs.withColumn("s", F.explode(_segments(F.col("rlen"), k))).where("s.len > 0")
@@ -114,30 +144,44 @@ def match(names: DataFrame, name: str, references: DataFrame, ref_id: str, ref_n
         segs = F.broadcast(segs)
     sizes = sorted({(i + 1) * n // (k + 1) - i * n // (k + 1) for n in range(bound[2], bound[1] + 1) for i in range(k + 1)} - {0})
 
-    # a name much longer or shorter than every reference cannot be within k edits of one
-    near = distinct.withColumn("sq", _squash("__plain")).withColumn("qlen", F.length("sq"))
-    near = near.where((F.col("qlen") <= bound[1] + k) & (F.col("qlen") >= bound[2] - k) & (F.col("qlen") > 0))
-    at = F.sequence(F.lit(0), F.col("qlen") - 1)
+    # a window much longer or shorter than every reference cannot be within k edits of one
+    near = distinct.withColumn("win", _windows(F.split("__plain", " "))).withColumn("sq", _squash("__plain"))
+    near = near.withColumn("win", F.filter("win", lambda w: (w["len"] <= bound[1] + k) & (w["len"] >= bound[2] - k) & (w["len"] > 0))).where(F.size("win") > 0)
+    tasks = -(-distinct.count() // NAMES_PER_TASK)
+    near = near.repartition(max(1, tasks), "__plain")
+    at = F.sequence(F.lit(0), F.length("sq") - 1)
 
     def cuts(size: int) -> Column:
         return F.transform(at, lambda p: F.struct(p.alias("p"), F.substring(F.col("sq"), p + 1, F.lit(size)).alias("piece")))
 
     pieces = F.flatten(F.array(*[cuts(size) for size in sizes]))
-    probe = near.select("__plain", "sq", "qlen", F.explode(pieces).alias("x")).select("__plain", "sq", "qlen", "x.p", "x.piece")
-    hits = probe.join(segs, "piece").where((F.abs(F.col("p") - F.col("at")) <= F.col("edits")) & (F.abs(F.col("qlen") - F.col("rlen")) <= F.col("edits")))
-    hits = hits.select("__plain", "sq", "rid", "ref", "rsq", "edits").distinct()
-    whole = hits.withColumn("d", F.expr(f"levenshtein(sq, rsq, {k})")).where("d >= 0 AND d <= edits")
-
-    typed, ref = F.split("__plain", " "), F.split("ref", " ")
-    costs = F.zip_with(typed, ref, lambda a, b: F.when(a.isNull() | b.isNull(), 99).otherwise(_word_cost(a, b)))
+    probe = near.select("__plain", "win", F.explode(pieces).alias("x")).select("__plain", "win", "x.p", "x.piece")
+    fits = F.filter("win", lambda w: (F.abs(F.col("p") - w["off"] - F.col("at")) <= F.col("edits")) & (F.abs(w["len"] - F.col("rlen")) <= F.col("edits")))
+    hits = probe.join(segs, "piece").select("__plain", "rid", "ref", "rsq", "edits", F.explode(fits).alias("w"))
+    hits = hits.dropDuplicates(["__plain", "rid", "ref", "w"])
+    near_by = hits.withColumn("d", F.expr(f"levenshtein(w.sq, rsq, {k})")).where("d >= 0 AND d <= edits")
+
+    ref_words = F.split("ref", " ")
+    costs = F.zip_with(F.col("w.words"), ref_words, lambda a, b: F.when(a.isNull() | b.isNull(), 99).otherwise(_word_cost(a, b)))
     by_word = F.aggregate(costs, F.lit(0), lambda acc, x: acc + x)
     # words run together or parted at another place are judged as a whole
-    score = F.when(F.size(typed) == F.size(ref), by_word).otherwise(F.when(F.col("d") <= 2, F.col("d")).otherwise(99))
-    best = whole.withColumn("score", score).where("score <= 6").groupBy("__plain").agg(F.min(F.struct("score", "d", "rid")).alias("b"))
-    matched = best.select("__plain", F.col("b.rid").cast("bigint").alias("match_id"))
+    score = F.when(F.size("w.words") == F.size(ref_words), by_word).otherwise(F.when(F.col("d") <= 2, F.col("d")).otherwise(99))
+    good = near_by.withColumn("score", score).where("score <= 6")
+    good = scratch.cut(good.select("__plain", "rid", "score", "d", F.col("w.cut").alias("cut"), F.col("w.before").alias("before"), F.col("w.after").alias("after")), "good")
+
+    # outer words that are filler, by what they stand around
+    sided = lambda c, side: F.transform(c, lambda x: F.concat(F.lit(side), x))
+    good = good.withColumn("outer", F.concat(sided("before", "<"), sided("after", ">"))).drop("before", "after")
+    known = refs.select(F.explode(F.split("ref", " ")).alias("word")).distinct()
+    outer = good.where("cut > 0").select("rid", F.explode("outer").alias("o")).withColumn("word", F.substring("o", 2, 1 << 30))
+    filler = outer.join(known, "word", "left_anti").groupBy("o").agg(F.countDistinct("rid").alias("n")).where(F.col("n") >= MIN_FRAMED).select("o", F.lit(1).alias("ok"))
+    framed = good.where("cut > 0").select("__plain", "rid", "score", "d", "cut", F.explode("outer").alias("o")).join(filler, "o", "left")
+    framed = framed.groupBy("__plain", "rid", "score", "d", "cut").agg(F.count("ok").alias("n_ok"), F.count(F.lit(1)).alias("n")).where("n_ok = n")
+    every = good.where("cut = 0").select("__plain", "rid", "score", "d", "cut").unionByName(framed.select("__plain", "rid", "score", "d", "cut"))
+    best = every.groupBy("__plain").agg(F.min(F.struct("cut", "score", "d", "rid")).alias("b"))
+    matched = scratch.cut(best.select("__plain", F.col("b.rid").alias("match_id")), "matched")
     unmatched = distinct.join(matched, "__plain", "left_anti").select("__plain", F.lit(-1).cast("bigint").alias("match_id"))
-    verdicts = scratch.cut(matched.unionByName(unmatched), "verdicts")
     total = rows.count()
     hot = [r[0] for r in distinct.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select("__plain").collect()]
     spread = F.struct(*[c for c in rows.columns if c != "__plain"])
-    return salted_join(rows, verdicts, "__plain", spread, hot).drop("__plain")
+    return salted_join(rows, matched.unionByName(unmatched), "__plain", spread, hot).drop("__plain")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.paths import bare_target, is_path_target
 from weftgraph.llm import bpe, canonical, cooccurrence, mixing, mojibake, residue, terms
-from weftgraph.sources.tables import current_documents, latest, table
+from weftgraph.sources.tables import current_documents, current_wide, latest, table
 
 
 def _markup(spark: SparkSession, d: str, clean: bool) -> DataFrame:
@@ -55,7 +55,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _document_terms(spark: SparkSession, d: str) -> DataFrame:
-    return current_documents(table(spark, d, "md_documents"), ["title", "headings", "body"])
+    return current_wide(table(spark, d, "md_documents"), ["title", "headings", "body"])
 
 
 def _all_terms():
@@ -63,16 +63,23 @@ def _all_terms():
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    out = terms.log_entropy(_document_terms(spark, d), "id", _all_terms(), min_tf=3, min_df=2, max_df=8)
+    out = terms.log_entropy(_document_terms(spark, d), "id", _all_terms(), min_tf=3, min_df=2, max_df=8, unique=True)
     return out.select(F.col("key").alias("doc_key"), "term")
 
 
 def p5_weights(spark: SparkSession, d: str) -> DataFrame:
     """The weight of every term in every current document."""
-    out = terms.log_entropy(_document_terms(spark, d), "id", _all_terms())
+    out = terms.log_entropy(_document_terms(spark, d), "id", _all_terms(), unique=True)
     return out.select(F.col("key").alias("doc_key"), "term", "tf", "df", F.round("weight", 6).alias("weight"))
 
 
+def p5_top(spark: SparkSession, d: str) -> DataFrame:
+    """The five terms of highest weight of every current document."""
+    out = terms.log_entropy(_document_terms(spark, d), "id", _all_terms(), unique=True)
+    out = terms.top_terms(out.withColumn("weight", F.round("weight", 6)), 5)
+    return out.select(F.col("key").alias("doc_key"), "place", "term", "weight")
+
+
 def _tag_baskets(spark: SparkSession, d: str) -> DataFrame:
     docs = current_documents(table(spark, d, "md_documents"), ["tags"])
     clean = F.transform("tags", lambda t: F.regexp_replace(F.lower(F.trim(t)), r"^(?:#\s*)+|\s+$", ""))
@@ -96,7 +103,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def _mix(spark: SparkSession, d: str):
     targets = table(spark, d, "mix_targets")
-    sized = bpe.count_tokens(table(spark, d, "documents").where("source IS NOT NULL"), ["doc_id", "source"], "text")
+    listed = F.broadcast(targets.select(F.col("src_name").alias("source")).distinct())  # one line per source
+    sized = bpe.count_tokens(table(spark, d, "documents").join(listed, "source", "left_semi"), ["doc_id", "source"], "text")
     chosen, plan = mixing.mix(sized, "doc_id", "source", "n_tokens", targets)
     return chosen, plan, targets
 
@@ -121,4 +129,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p5_found, p5_weights, p7_found, p7_pairs, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p5_found, p5_weights, p5_top, p7_found, p7_pairs, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)}
