@@ -89,20 +89,38 @@ def _segments(n: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k)), seg)
 
 
-def _windows(words: Column) -> Column:
-    """The name and its runs of at least two words that leave out outer words."""
-    def window(a: int, b: int) -> Column:
-        run = F.slice(words, a + 1, F.greatest(F.size(words) - a - b, F.lit(0)))
-        before = F.slice(words, 1, a) if a else F.expr("cast(array() as array<string>)")
-        after = F.slice(words, F.greatest(F.size(words) - b + 1, F.lit(1)), F.lit(b)) if b else F.expr("cast(array() as array<string>)")
-        joined = _squash(F.array_join(run, ""))
-        body = F.struct(
-            F.lit(a + b).alias("cut"), F.length(_squash(F.array_join(before, ""))).alias("off"), F.length(joined).alias("len"),
-            joined.alias("sq"), run.alias("words"), before.alias("before"), after.alias("after"),
-        )
-        return body if a + b == 0 else F.when(F.size(words) - a - b >= 2, body)
-
-    return F.array_compact(F.array(*[window(a, b) for a in range(OUTER_WORDS + 1) for b in range(OUTER_WORDS + 1)]))
+def _cuts() -> list[tuple[int, int, int]]:
+    """Number, words left out before and words left out after, of each window."""
+    return [(a * (OUTER_WORDS + 1) + b, a, b) for a in range(OUTER_WORDS + 1) for b in range(OUTER_WORDS + 1)]
+
+
+def _places(sizes: Column) -> Column:
+    """Number, place and length in the squashed name of the name itself and of its
+    runs of at least two words that leave out outer words; ``sizes`` of its words."""
+    n = F.size(sizes)
+    size = lambda at: F.coalesce(F.get(sizes, at), F.lit(0))
+    total = F.aggregate(sizes, F.lit(0), lambda x, y: x + y)
+
+    def place(i: int, a: int, b: int) -> Column:
+        before, after = F.lit(0), F.lit(0)
+        for j in range(a):
+            before = before + size(F.lit(j))
+        for j in range(b):
+            after = after + size(n - 1 - j)
+        one = F.struct(F.lit(i).alias("id"), before.alias("off"), (total - before - after).alias("len"))
+        return one if a + b == 0 else F.when(n - a - b >= 2, one)
+
+    return F.array_compact(F.array(*[place(*c) for c in _cuts()]))
+
+
+def _window(words: Column, number: Column) -> Column:
+    """The window of that number: its words, and those before and after it."""
+    before = (number / (OUTER_WORDS + 1)).cast("int")
+    after = F.pmod(number, F.lit(OUTER_WORDS + 1))
+    n = F.size(words)
+    run = F.slice(words, before + 1, F.greatest(n - before - after, F.lit(0)))
+    left, right = F.slice(words, F.lit(1), before), F.slice(words, F.greatest(n - after + 1, F.lit(1)), after)
+    return F.struct((before + after).alias("cut"), _squash(F.array_join(run, "")).alias("sq"), run.alias("words"), left.alias("before"), right.alias("after"))
 
 
 def _word_cost(typed: Column, ref: Column) -> Column:
@@ -145,20 +163,18 @@ def match(names: DataFrame, name: str, references: DataFrame, ref_id: str, ref_n
     sizes = sorted({(i + 1) * n // (k + 1) - i * n // (k + 1) for n in range(bound[2], bound[1] + 1) for i in range(k + 1)} - {0})
 
     # a window much longer or shorter than every reference cannot be within k edits of one
-    near = distinct.withColumn("win", _windows(F.split("__plain", " "))).withColumn("sq", _squash("__plain"))
-    near = near.withColumn("win", F.filter("win", lambda w: (w["len"] <= bound[1] + k) & (w["len"] >= bound[2] - k) & (w["len"] > 0))).where(F.size("win") > 0)
     tasks = -(-distinct.count() // NAMES_PER_TASK)
-    near = near.repartition(max(1, tasks), "__plain")
-    at = F.sequence(F.lit(0), F.length("sq") - 1)
-
-    def cuts(size: int) -> Column:
-        return F.transform(at, lambda p: F.struct(p.alias("p"), F.substring(F.col("sq"), p + 1, F.lit(size)).alias("piece")))
-
-    pieces = F.flatten(F.array(*[cuts(size) for size in sizes]))
-    probe = near.select("__plain", "win", F.explode(pieces).alias("x")).select("__plain", "win", "x.p", "x.piece")
-    fits = F.filter("win", lambda w: (F.abs(F.col("p") - w["off"] - F.col("at")) <= F.col("edits")) & (F.abs(w["len"] - F.col("rlen")) <= F.col("edits")))
-    hits = probe.join(segs, "piece").select("__plain", "rid", "ref", "rsq", "edits", F.explode(fits).alias("w"))
-    hits = hits.dropDuplicates(["__plain", "rid", "ref", "w"])
+    near = distinct.select("__plain").repartition(max(1, tasks), "__plain")
+    sizes_of = F.transform(F.split("__plain", " "), lambda x: F.length(_squash(x)))
+    near = near.select("__plain", _squash("__plain").alias("sq"), F.explode(_places(sizes_of)).alias("w"))
+    near = near.select("__plain", "w.id", F.substring("sq", F.col("w.off") + 1, F.col("w.len")).alias("sq"), F.col("w.len").alias("qlen"))
+    near = near.where((F.col("qlen") <= bound[1] + k) & (F.col("qlen") >= bound[2] - k) & (F.col("qlen") > 0))
+    probe = near.select("*", F.explode(F.sequence(F.lit(0), F.col("qlen") - 1)).alias("p"))
+    probe = probe.select("__plain", "id", "qlen", "p", F.explode(F.array(*[F.substring("sq", F.col("p") + 1, F.lit(size)) for size in sizes])).alias("piece"))
+    hits = probe.join(segs, "piece").where((F.abs(F.col("p") - F.col("at")) <= F.col("edits")) & (F.abs(F.col("qlen") - F.col("rlen")) <= F.col("edits")))
+    hits = hits.select("__plain", "rid", "ref", "id").distinct()
+    hits = hits.withColumn("w", _window(F.split("__plain", " "), F.col("id")))
+    hits = hits.withColumn("rsq", _squash("ref")).withColumn("edits", F.least(F.lit(k), F.greatest(F.lit(1), (F.length("rsq") / 3).cast("int"))))
     near_by = hits.withColumn("d", F.expr(f"levenshtein(w.sq, rsq, {k})")).where("d >= 0 AND d <= edits")
 
     ref_words = F.split("ref", " ")
