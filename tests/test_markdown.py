@@ -14,6 +14,7 @@ def write(root, files):
 
 
 def test_frontmatter():
+    assert frontmatter.parse('a: "x\\\\y \\"q\\" \\n#"  # c\nb: [1e3, TRUE, "a, \\"b"] # c\nc: NULL\nd: a#b') == {"a": 'x\\y "q" \n#', "b": [1000.0, True, 'a, "b'], "c": None, "d": "a#b"}
     head, body = frontmatter.split("---\ntitle: 'A # b'  # note\ntags: [x, 'y, z']\nup:\n  - [[Up]]\nm: {k: 1, v: 2.5}\nn: ~\nlist:\n- a: 1\n  b: true\n- two\n---\nbody\n")
     assert body == "body\n"
     assert frontmatter.parse(head) == {"title": "A # b", "tags": ["x", "y, z"], "up": ["[[Up]]"], "m": {"k": 1, "v": 2.5}, "n": None, "list": [{"a": 1, "b": True}, "two"]}
@@ -29,7 +30,6 @@ def test_extraction():
     assert markdown.headings(body) == ["One", "Two"]
     assert markdown.inline_tags(body) == ["tag", "a/b", "frag"]
     assert markdown.body_links(body) == ["t|a", "y.md"]
-    assert markdown.fnv1a(b"") == "cbf29ce484222325" and markdown.fnv1a(b"a") == "af63dc4c8601ec8c"
     assert markdown.style_key("/en-US/docs/Web/Index.md") == "web" or markdown.style_key("/en-US/docs/Web/index.md") == "web"
 
 
@@ -103,7 +103,7 @@ def test_watch_debounces():
 def test_watch_stream(spark, tmp_path):
     root = str(tmp_path / "w")
     write(root, {"a.md": "x"})
-    assert len(listing(spark, f"file://{root}")) == 1
+    assert listing(spark, f"file://{root}")[0] == 1
     v = markdown.Vault(spark)
     q = start(spark, f"file://{root}", lambda: v.sync(root), max_runs=1)
     q.awaitTermination(60)

@@ -40,17 +40,36 @@ def parse(text: str) -> dict:
 
 
 def _uncomment(line: str) -> str:
-    quote = None
-    for i, ch in enumerate(line):
+    """The line up to a comment: ``#`` after a blank, outside quotes and brackets."""
+    quote, depth, i = None, 0, 0
+    while i < len(line):
+        ch = line[i]
         if quote:
-            quote = None if ch == quote else quote
+            if quote == '"' and ch == "\\":
+                i += 1
+            elif ch == quote:
+                quote = None
         elif ch in "'\"":
             quote = ch
-        elif ch == "#" and (i == 0 or line[i - 1] in " \t"):
+        elif ch in "[{":
+            depth += 1
+        elif ch in "]}":
+            depth = max(0, depth - 1)
+        elif ch == "#" and depth == 0 and (i == 0 or line[i - 1].isspace()):
             return line[:i]
+        i += 1
     return line
 
 
+_ESCAPES = {"n": "\n", "r": "\r", "t": "\t"}
+
+
+def _unquoted(text: str) -> str:
+    """What stands between quotes; only double ones know escapes."""
+    inner = text[1:-1]
+    return re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), inner, flags=re.S) if text[0] == '"' else inner
+
+
 _KEY = re.compile(r"""(?P<key>"[^"]*"|'[^']*'|[^:\[\]{},"'][^:]*?)\s*:(?:\s+(?P<rest>.*))?$""")
 
 
@@ -93,7 +112,7 @@ def _pieces(text: str) -> list[str]:
     out, depth, quote, start = [], 0, None, 0
     for i, ch in enumerate(text):
         if quote:
-            quote = None if ch == quote else quote
+            quote = None if ch == quote and not (quote == '"' and text[i - 1] == "\\" and text[i - 2] != "\\") else quote
         elif ch in "'\"":
             quote = ch
         elif ch in "[{":
@@ -121,13 +140,14 @@ def scalar(text: str):
             out[k.strip().strip("'\"")] = scalar(v.strip())
         return out
     if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
-        return text[1:-1]
-    if text in ("null", "~", ""):
+        return _unquoted(text)
+    low = text.lower()
+    if low in ("null", "~", ""):
         return None
-    if text in ("true", "false"):
-        return text == "true"
+    if low in ("true", "false"):
+        return low == "true"
     if re.fullmatch(r"[+-]?\d+", text):
         return int(text)
-    if re.fullmatch(r"[+-]?\d+\.\d+", text):
+    if re.fullmatch(r"[+-]?(?:\d+\.\d*|\.\d+|\d+(?=[eE]))(?:[eE][+-]?\d+)?", text):
         return float(text)
     return text

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.paths import normal_path
@@ -23,18 +23,21 @@ from weftgraph.operators.mutate import number
 from weftgraph.session import Scratch, ship
 from weftgraph.sources import frontmatter
 from weftgraph.sources.graph import Graph
+from weftgraph.sources.tables import tidy
 
 RELATIONS = {"up": "up", "parent": "up", "related": "related", "next": "next", "previous": "previous", "link": "link", "links": "link"}
 EDGE_TYPES = {"up": "MD_UP", "related": "MD_RELATED", "next": "MD_NEXT", "previous": "MD_PREVIOUS"}
 DIRECTORY_WEIGHT = 0.25
-PARSED = "root string, path string, ext string, source_hash string, status string, raw string, body string, title string, has_frontmatter boolean, tags array<string>, aliases array<string>, links array<string>, headings array<string>, frontmatter string, refs array<struct<target:string,source:string,relation:string>>, keys array<struct<tier:int,key:string>>"
+PARSED = "root string, path string, ext string, source_hash string, status string, raw string, body string, title string, has_frontmatter boolean, tags array<string>, aliases array<string>, links array<string>, headings array<string>, frontmatter string, refs array<struct<target:string,source:string,relation:string,asks:array<struct<tier:int,key:string>>>>, keys array<struct<tier:int,key:string>>"
 
 
-def fnv1a(data: bytes) -> str:
-    h = 0xCBF29CE484222325
-    for b in data:
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return f"{h:016x}"
+def content_hash(c: Column) -> Column:
+    """16 hexadecimal digits that tell contents apart."""
+    return F.substring(F.sha2(c, 256), 1, 16)
+
+
+def _lines(text: str) -> list[str]:
+    return [x.removesuffix("\r") for x in text.split("\n")]
 
 
 def _unique(items) -> list:
@@ -42,7 +45,7 @@ def _unique(items) -> list:
 
 
 def headings(body: str) -> list[str]:
-    found = (line.lstrip().lstrip("#").strip().rstrip("#").strip() for line in body.splitlines() if line.lstrip().startswith("#"))
+    found = (line.lstrip().lstrip("#").strip().rstrip("#").strip() for line in _lines(body) if line.lstrip().startswith("#"))
     return _unique(h for h in found if h)
 
 
@@ -50,7 +53,7 @@ _TAG = re.compile(r"(?<![^\s(\[{])#([A-Za-z0-9_/-]+)")
 
 
 def inline_tags(body: str) -> list[str]:
-    return _unique(t for line in body.splitlines() if not line.lstrip().startswith("# ") for t in _TAG.findall(line))
+    return _unique(t for line in _lines(body) if not line.lstrip().startswith("# ") for t in _TAG.findall(line))
 
 
 def body_links(body: str) -> list[str]:
@@ -162,8 +165,9 @@ def link_candidates(home: str, raw: str) -> list[tuple[int, str]]:
     return _unique(out)
 
 
-def parse_document(root: str, path: str, data: bytes) -> dict:
-    raw = data.decode("utf-8", "replace")
+def parse_document(root: str, path: str, data: bytes | str, source_hash: str | None = None) -> dict:
+    """A note as the columns ``PARSED``, with what each of its links asks for."""
+    raw = data if isinstance(data, str) else data.decode("utf-8", "replace")
     head, body = frontmatter.split(raw)
     front: dict = {}
     if head is not None:
@@ -177,49 +181,53 @@ def parse_document(root: str, path: str, data: bytes) -> dict:
     title = front.get("title") if isinstance(front.get("title"), str) else heads[0] if heads else _stem(PurePosixPath(path).name)
     aliases, slug = _listed(front, "aliases", "alias"), front.get("slug")
     return {
-        "root": root, "path": path, "ext": PurePosixPath(path).suffix[1:].lower(), "source_hash": fnv1a(data), "status": "current", "raw": raw, "body": body,
+        "root": root, "path": path, "ext": PurePosixPath(path).suffix[1:].lower(), "source_hash": source_hash, "status": "current", "raw": raw, "body": body,
         "title": title, "has_frontmatter": head is not None, "tags": _unique([*_listed(front, "tags", "tag"), *inline_tags(body)]), "aliases": aliases,
-        "links": _unique(r[0] for r in refs), "headings": heads, "frontmatter": json.dumps(front, default=str) if head is not None else None, "refs": refs,
+        "links": _unique(r[0] for r in refs), "headings": heads, "frontmatter": json.dumps(front, default=str, ensure_ascii=False) if head is not None else None,
+        "refs": [(*r, link_candidates(path, r[0])) for r in refs],
         "keys": document_keys(path, aliases, slug if isinstance(slug, str) else None),
     }
 
 
+_NAMES = [c.split()[0] for c in re.split(r", (?=\w+ \w)", PARSED)]
+
+
+def parse_notes(notes: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """``root, path, content`` (text or bytes) as ``keep`` and ``PARSED``, in Arrow batches.
+
+    A null path or content gives no row.  The hash is made in the JVM.
+    """
+    rows = notes.where("path IS NOT NULL AND content IS NOT NULL").select(*keep, "root", "path", "content", content_hash(F.col("content").cast("binary")).alias("hash"))
+    kept = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keep)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [parse_document(r, p, d if isinstance(d, str) else bytes(d), h) for r, p, d, h in zip(b["root"], b["path"], b["content"], b["hash"])]
+            yield pd.concat([b[list(keep)].reset_index(drop=True), pd.DataFrame(made, columns=_NAMES)], axis=1)
+
+    return rows.mapInPandas(run, kept + PARSED)
+
+
 def read_directory(spark: SparkSession, root: str) -> DataFrame:
     """All ``.md`` and ``.mdx`` files below ``root``, parsed; columns ``PARSED``."""
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[mM][dD],[mM][dD][xX]}").load(root)
     base = re.sub(r"^file:/*", "/", root.rstrip("/"))
-    rows = files.select(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))).alias("path"), "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in re.split(r", (?=\w+ \w)", PARSED)]
-        for b in batches:
-            out = []
-            for p, data in zip(b["path"], b["content"]):
-                rel = re.sub(r"^file:/*", "/", p)[len(base) :].lstrip("/")
-                out.append(parse_document(base, rel, bytes(data)))
-            yield pd.DataFrame(out, columns=names)
-
-    return rows.mapInPandas(run, PARSED)
+    where = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), r"^file:/*", "/")
+    return parse_notes(files.select(F.lit(base).alias("root"), F.ltrim(F.substring(where, len(base) + 1, 1 << 30), F.lit("/")).alias("path"), "content"))
 
 
 def resolve_links(docs: DataFrame) -> DataFrame:
     """``src, dst, target, source, relation`` of every reference; dst is null
     where none or several documents fit.  ``docs``: id, root, path, refs, keys."""
-
-    @F.udf("array<struct<tier:int,key:string>>", useArrow=True)
-    def asks(path: str, target: str):
-        return link_candidates(path, target)
-
     keys = docs.select("root", "path", "id", F.explode("keys").alias("k")).select("root", "path", "id", "k.tier", "k.key")
     offers = keys.groupBy("root", "tier", "key").agg(F.countDistinct("id").alias("n"), F.min(F.struct("path", "id")).alias("first"))
     # a key that several documents offer resolves nothing, but a direct one means the first path
     offers = offers.where((F.col("n") == 1) | (F.col("tier") == DIRECT)).select("root", "tier", "key", F.col("first.id").alias("dst"))
-    refs = docs.select(F.col("id").alias("src"), "root", "path", F.posexplode("refs").alias("no", "r"))
-    asked = refs.select("src", "root", "no", "r", F.posexplode_outer(asks("path", F.col("r.target"))).alias("order", "k"))
-    asked = asked.select("src", "root", "no", "r", "order", "k.tier", "k.key").join(offers, ["root", "tier", "key"], "left")
-    best = asked.groupBy("src", "no").agg(F.first("r").alias("r"), F.min(F.when(F.col("dst").isNotNull(), F.struct("order", "dst"))).alias("hit"))
-    return best.select("src", F.col("hit.dst").alias("dst"), F.col("r.target").alias("target"), F.col("r.source").alias("source"), F.col("r.relation").alias("relation"))
+    refs = docs.select(F.col("id").alias("src"), "root", F.posexplode("refs").alias("no", "r")).select("src", "root", "no", "r.target", "r.source", "r.relation", "r.asks")
+    asked = refs.select("src", "root", "no", F.posexplode("asks").alias("order", "k")).select("src", "root", "no", "order", "k.tier", "k.key").join(offers, ["root", "tier", "key"])
+    best = asked.groupBy("src", "no").agg(F.min(F.struct("order", "dst")).alias("hit"))
+    return refs.join(best, ["src", "no"], "left").select("src", F.col("hit.dst").alias("dst"), "target", "source", "relation")
 
 
 def link_edges(resolved: DataFrame) -> DataFrame:
@@ -243,6 +251,38 @@ def directory_paths(docs: DataFrame) -> DataFrame:
     return dirs.select("root", dot(F.col("path")).alias("path"), dot(parent).alias("parent"))
 
 
+def merge_documents(state: DataFrame, scan: DataFrame, roots: list[str]) -> DataFrame:
+    """The state after a scan of ``roots``, by (root, path), with ``change``.
+
+    Scanned documents take the columns of the scan; they keep their id (null for
+    new ones) and every column the scan does not have.  Documents of the roots
+    that were not found are marked missing, those of other roots stay.
+    ``change``: created, updated, revived, unchanged, tombstoned or kept.
+    """
+    own = [c for c in scan.columns if c not in ("root", "path", "id")]
+    user = [c for c in state.columns if c not in scan.columns and c != "id"]
+    shared = [c for c in own if c in state.columns]
+    was = state.select("root", "path", "id", *[F.col(c).alias(f"__{c}") for c in shared], *user, F.lit(True).alias("__was"))
+    j = scan.drop("id").withColumn("__now", F.lit(True)).join(was, ["root", "path"], "full")
+    now, lost = F.col("__now").isNotNull(), F.col("root").isin(roots)
+    missing = tidy("__status") == "missing"
+    change = (
+        F.when(now & F.col("__was").isNull(), "created").when(now & missing, "revived").when(now & ~F.col("source_hash").eqNullSafe(F.col("__source_hash")), "updated")
+        .when(now, "unchanged").when(lost & ~F.coalesce(missing, F.lit(False)), "tombstoned").otherwise("kept")
+    )
+    values = [F.when(now, F.col(c)).otherwise(F.col(f"__{c}")).alias(c) if c in shared else F.col(c) for c in own if c != "status"]
+    status = F.when(now, F.col("status")).when(lost, F.lit("missing")).otherwise(F.col("__status")).alias("status")
+    return j.select("id", "root", "path", *values, status, *user, change.alias("change"))
+
+
+def sync_report(merged: DataFrame, resolved: DataFrame) -> dict:
+    """Counts of a sync: documents by change, links by outcome."""
+    n = {r["change"]: r["n"] for r in merged.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
+    links = resolved.agg(F.count(F.lit(1)), F.count("dst")).first()
+    seen = {c: n.get(c, 0) for c in ("created", "updated", "revived")}
+    return {"scanned": sum(seen.values()) + n.get("unchanged", 0), **seen, "links": links[0], "resolved": links[1], "unresolved": links[0] - links[1], "tombstoned": n.get("tombstoned", 0)}
+
+
 class Vault:
     """The state of one synced directory: documents, directories and edges."""
 
@@ -272,31 +312,17 @@ class Vault:
         """
         scratch = Scratch(self.spark, "vault")
         new = scratch.cut(read_directory(self.spark, root), "scan")
-        base = new.select("root").first()
-        base = base[0] if base else re.sub(r"^file:/*", "/", root.rstrip("/"))
-        old = self.docs.select("id", "root", "path", F.col("source_hash").alias("old_hash"), F.col("status").alias("old_status")) if self.docs is not None else self.spark.createDataFrame([], "id bigint, root string, path string, old_hash string, old_status string")
-        seen = scratch.cut(new.join(old, ["root", "path"], "left"), "seen")
-        fresh, n = number(scratch, seen.where("id IS NULL").drop("id"), "id", self.next_id)
+        base = re.sub(r"^file:/*", "/", root.rstrip("/"))
+        old = self.docs if self.docs is not None else new.limit(0).withColumn("id", F.lit(None).cast("bigint"))
+        merged = scratch.cut(merge_documents(old, new, [base]), "merged")
+        fresh, n = number(scratch, merged.where("id IS NULL").drop("id"), "id", self.next_id)
         self.next_id += n
-        known = seen.where("id IS NOT NULL")
-        docs = scratch.cut(known.unionByName(fresh), "documents")
-        stats = docs.agg(F.count(F.lit(1)), F.sum((F.col("old_hash").isNotNull() & (F.col("old_hash") != F.col("source_hash"))).cast("int")), F.sum((F.col("old_status") == "missing").cast("int"))).first()
-        report = {"scanned": stats[0], "created": n, "updated": stats[1] or 0, "revived": stats[2] or 0}
+        state = scratch.cut(merged.where("id IS NOT NULL").unionByName(fresh), "state")
+        docs = state.where("change IN ('created', 'updated', 'revived', 'unchanged')").drop("change")
         resolved = scratch.cut(resolve_links(docs), "links")
+        report = sync_report(merged, resolved)
         links = link_edges(resolved)
-        counts = resolved.agg(F.count(F.lit(1)), F.count("dst")).first()
-        report |= {"links": counts[0], "resolved": counts[1], "unresolved": counts[0] - counts[1]}
-        own = docs.drop("old_hash", "old_status")
-        report["tombstoned"] = 0
-        if self.docs is not None:
-            others = [c for c in self.docs.columns if c not in own.columns]
-            if others:
-                own = own.join(self.docs.select("id", *others), "id", "left")
-            gone = self.docs.where(F.col("root") == base).join(new.select("root", "path"), ["root", "path"], "left_anti").withColumn("status", F.lit("missing"))
-            report["tombstoned"] = gone.where("id IS NOT NULL").count()
-            rest = self.docs.where(F.col("root") != base)
-            own = own.unionByName(gone, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
-        self.docs = scratch.cut(own, "state")
+        self.docs = state.drop("change")
         edges = links
         if directory_graph:
             edges = edges.unionByName(self._directories(scratch, docs, base), allowMissingColumns=True)
