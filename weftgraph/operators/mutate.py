@@ -20,6 +20,10 @@ from weftgraph.session import Scratch
 from weftgraph.sources.graph import Graph, Part, kind_of
 
 
+#: Deletions that may stay as plans on one part before it is written out.
+STACKED = 3
+
+
 def number(scratch: Scratch, df: DataFrame, name: str, base: int) -> tuple[DataFrame, int]:
     """Rows with dense ids from ``base``, without a global sort.
 
@@ -47,6 +51,7 @@ class Mutation:
     def run(self, q: ast.Query) -> tuple[Graph, DataFrame]:
         """The changed graph and the result of RETURN."""
         self.compiler = Compiler(self.graph, self.params)
+        self._bound = bound_names(q)
         r = self.compiler.rows(q)
         r = self._settle(r)
         if q.merge is not None:
@@ -56,6 +61,8 @@ class Mutation:
         for change in q.sets:
             r = self._set(r, change)
         for kind, var, name in q.removes:
+            if kind == "label":
+                self._bound.pop(var, None)
             r = self._remove(r, kind, var, name)
         if q.deletes:
             self._delete(r, q.deletes)
@@ -69,6 +76,17 @@ class Mutation:
         df = self.scratch.cut(r.df.select("*", *order), "rows")
         return Rows(df, r.scope, [F.col(f"_o{k}") for k in range(len(order))], r.keys)
 
+    def _near(self, name: str, kind: str) -> Graph:
+        """The graph without the parts that cannot hold a variable, by its labels or types."""
+        own = [p for p in (self.graph.nodes if kind == "node" else self.graph.edges) if self._may_hold(p, name)]
+        return self.graph.but(nodes=own) if kind == "node" else self.graph.but(edges=own)
+
+    def _may_hold(self, part: Part, name: str) -> bool:
+        known = self._bound.get(name)
+        if not known:
+            return True
+        return part.type in known if part.type is not None else part.labels is None or set(known) <= set(part.labels)
+
     def _refresh(self, r: Rows) -> Rows:
         """Entities as they are in the changed graph; deleted ones read as null."""
         keep, scope, df = [], {}, r.df
@@ -80,10 +98,11 @@ class Mutation:
         entities = [(n, v) for n, v in r.scope.items() if entity(v.kind) and v.name is not None]
         df = df.select(*keep, *[F.col(f"`{c}`") for c in hidden], *[F.col(f"`{v.name}`").alias(n) for n, v in entities])
         for name, v in entities:
+            here = self._near(name, v.kind)
             if v.kind == "node":
-                fresh, kinds = self.graph.scan_nodes((), self.compiler.props, "·x")
+                fresh, kinds = here.scan_nodes((), self.compiler.props, "·x")
             else:
-                fresh, kinds = self.graph.scan_edges((), self.compiler.props, "·x")
+                fresh, kinds = here.scan_edges((), self.compiler.props, "·x")
             fresh = fresh.select(*[F.col(f"`{c}`").alias(name + c[2:] if c != "·x" else "·key") for c in fresh.columns])
             df = df.join(fresh, F.col(f"`{name}`") == F.col("`·key`"), "left").drop("·key")
             if v.kind == "node":
@@ -255,13 +274,13 @@ class Mutation:
         latest = rows.groupBy("id").agg(F.max_by(F.struct(*[f"new{k}" for k in range(len(pairs))]), "rank").alias("new"))
         latest = self.scratch.cut(latest, "updates")
         names = {p: (F.col(f"new.new{k}"), x.kind) for k, (p, x) in enumerate(pairs)}
-        self._patch(v.kind, latest, names)
+        self._patch(v.kind, var, latest, names)
         for p, _ in pairs:
             if p not in self.compiler.props:
                 self.compiler.props.append(p)
         return self._refresh(r)
 
-    def _patch(self, kind: str, updates: DataFrame, names: dict) -> None:
+    def _patch(self, kind: str, var: str, updates: DataFrame, names: dict) -> None:
         def patched(part: Part) -> Part:
             df = part.df.join(updates, "id", "left")
             hit = F.col("new").isNotNull()
@@ -277,7 +296,9 @@ class Mutation:
                     cols.append(F.when(hit, col).alias(p))
             return replace(part, df=self.scratch.cut(df.select(*cols), "patched"))
 
-        touched = lambda part: not part.df.join(updates, "id", "left_semi").isEmpty()
+        parts = self.graph.nodes if kind == "node" else self.graph.edges
+        single = sum(self._may_hold(p, var) for p in parts) == 1
+        touched = lambda p: self._may_hold(p, var) and (single or not p.df.join(updates, "id", "left_semi").isEmpty())
         if kind == "node":
             self.graph = self.graph.but(nodes=[patched(p) if touched(p) else p for p in self.graph.nodes])
         else:
@@ -318,10 +339,30 @@ class Mutation:
         parts = self.graph.edges
         if edges is not None:
             gone = self.scratch.cut(edges.distinct(), "gone-edges")
-            parts = [replace(p, df=p.df.join(gone, "id", "left_anti")) for p in parts]
+            held = [any(self._may_hold(p, n) for n in names if r.scope[n].kind == "edge") for p in parts]
+            parts = [self._without(p, p.df.join(gone, "id", "left_anti")) if h else p for p, h in zip(parts, held)]
         if nodes is not None:
             gone = self.scratch.cut(nodes.distinct(), "gone-nodes")
             src, dst = gone.withColumnRenamed("id", "src"), gone.withColumnRenamed("id", "dst")
-            parts = [replace(p, df=p.df.join(src, "src", "left_anti").join(dst, "dst", "left_anti").select(*p.df.columns)) for p in parts]
-            self.graph = self.graph.but(nodes=[replace(p, df=p.df.join(gone, "id", "left_anti")) for p in self.graph.nodes])
+            parts = [self._without(p, p.df.join(src, "src", "left_anti").join(dst, "dst", "left_anti").select(*p.df.columns)) for p in parts]
+            held = [any(self._may_hold(p, n) for n in names if r.scope[n].kind == "node") for p in self.graph.nodes]
+            self.graph = self.graph.but(nodes=[self._without(p, p.df.join(gone, "id", "left_anti")) if h else p for p, h in zip(self.graph.nodes, held)])
         self.graph = self.graph.but(edges=parts)
+
+    def _without(self, part: Part, df: DataFrame) -> Part:
+        """A part less what was deleted; after a few deletions it is written out."""
+        if part.stacked >= STACKED:
+            return replace(part, df=self.scratch.cut(df, "left"), stacked=0)
+        return replace(part, df=df, stacked=part.stacked + 1)
+
+
+def bound_names(q: ast.Query) -> dict[str, tuple]:
+    """The labels or types that patterns ask of each variable; names that a WITH
+    gives anew are left out."""
+    out: dict[str, tuple] = {}
+    for p in (q.match, q.merge, q.create):
+        for x in (p.start, *[y for step in p.steps for y in step]) if p is not None else ():
+            if x.var:
+                out.setdefault(x.var, tuple(x.labels if isinstance(x, ast.NodePat) else x.types))
+    again = {i.alias for w in q.withs for i in w.items if i.alias}
+    return {k: v for k, v in out.items() if k not in again}

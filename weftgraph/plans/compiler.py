@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from weftgraph.lang import ast
 from weftgraph.lang.errors import QueryError
 from weftgraph.plans.values import AGGREGATES, Binder, Val, entity, is_list, is_map, type_name
+from weftgraph.session import Scratch
 from weftgraph.sources.graph import Graph
 
 
@@ -109,8 +110,10 @@ class Rows:
 
 
 class Compiler:
-    def __init__(self, graph: Graph, params: dict | None = None):
-        self.graph, self.params = graph, params or {}
+    """``max_rows``: optional bound on the rows of a MATCH; beyond it the query fails."""
+
+    def __init__(self, graph: Graph, params: dict | None = None, max_rows: int | None = None):
+        self.graph, self.params, self.max_rows = graph, params or {}, max_rows
         self.binder = Binder(self.params)
         self._n = 0
 
@@ -126,6 +129,8 @@ class Compiler:
         self.ordered = q.limit is not None or any(w.limit is not None for w in q.withs) or self._collects(q)
         if q.match is not None:
             r = self.match(q.match)
+            if self.max_rows is not None and r.df.limit(self.max_rows + 1).count() > self.max_rows:
+                raise QueryError("row_limit_exceeded", f"MATCH gives more than {self.max_rows} rows")
         else:
             r = Rows(self.graph.spark.range(1).select(F.lit(0).alias("_unit")), {}, [], ["_unit"])
         if q.where is not None:
@@ -238,7 +243,8 @@ class Compiler:
 
         A node is expanded once per depth and row; every edge out of an expanded
         node gives a result at its depth, also to nodes seen before.  Depth 0
-        never gives a result.
+        never gives a result.  With several levels the rows, the edges and each
+        level are written once, so no level plans those before it again.
         """
         if edge.var:
             raise QueryError("variable_hop_edge_binding", "an edge of variable length cannot be bound")
@@ -250,16 +256,21 @@ class Compiler:
         else:
             row = self.fresh("row")
             rid, base = [row], r.df.withColumn(row, F.monotonically_increasing_id())
+        scratch = Scratch(self.graph.spark, "hops") if high > 1 else None
+        if scratch:
+            base = scratch.cut(base, "rows")
         none = F.expr("cast(array() as array<bigint>)")
         frontier = base.withColumn(at, F.col(f"`{here}`"))
         if traced:
             frontier = frontier.withColumn(trace, none).withColumn(seen, none)
         parts = []
         rows_cols = base.columns
+        name = self.fresh("e")
+        df, val = self._edges(edge, name, [p for p, _ in edge.props])
+        cond = self._matches(edge.props, val, r.scope)
+        if scratch and high > 0:
+            df = scratch.cut(df, "edges")
         for k in range(1, high + 1):
-            name = self.fresh("e")
-            df, val = self._edges(edge, name, [p for p, _ in edge.props])
-            cond = self._matches(edge.props, val, r.scope)
             joined = frontier.join(df, F.col(at) == F.col(f"`{name}·at`"))
             if cond is not None:
                 joined = joined.where(cond)
@@ -267,6 +278,8 @@ class Compiler:
             if traced:
                 cols += [F.array_append(trace, F.col(f"`{name}`")).alias(trace), F.array_append(seen, F.col(f"`{name}·to`")).alias(seen)]
             level = joined.select(*cols)
+            if scratch:
+                level = scratch.cut(level, f"level{k}")
             if k >= low:
                 parts.append(level.withColumn(depth, F.lit(k)))
             if k < high:
@@ -327,7 +340,8 @@ class Compiler:
             if is_list(v.kind):
                 return (F.min_by if call.name == "min" else F.max_by)(v.col, F.size(v.col)), v.kind
             if is_map(v.kind):
-                raise QueryError("aggregate_type_error", f"{call.name}() does not take maps here")
+                size = F.size(v.col) if v.kind[0] == "dict" else F.when(v.col.isNotNull(), F.lit(len(v.kind[1])))
+                return (F.min_by if call.name == "min" else F.max_by)(v.col, size), v.kind
             return (F.min if call.name == "min" else F.max)(v.col), v.kind
         # collect keeps nulls and the order of the rows
         pack = F.struct(*[o.alias(f"o{k}") for k, o in enumerate(r.order)], v.col.alias("x"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from weftgraph.lang import ast
 from weftgraph.lang.parser import parse
 from weftgraph.plans.compiler import Compiler
-from weftgraph.sources.views import SHIFT, star_graph, vault_graph
+from weftgraph.sources.views import SHIFT, VAULT_TYPES, star_graph, vault_graph
 
 B = SHIFT
 
@@ -143,16 +144,36 @@ TEXTS: dict[str, tuple] = {
         "SELECT o_custkey AS c, o_orderkey AS o FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY o_custkey, o_orderkey LIMIT 25"),
     "theta_condition": (star_graph, "MATCH (a:Supplier)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(b:Supplier) WHERE a.s_acctbal < b.s_acctbal RETURN n.n_name AS nation, count(*) AS n", {},
         "SELECT n_name AS nation, count(*) AS n FROM supplier a JOIN supplier b USING (s_nationkey) JOIN nation ON s_nationkey = n_nationkey WHERE a.s_acctbal < b.s_acctbal GROUP BY 1"),
+    "agg_avg": (star_graph, "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WITH n.n_name AS nation, avg(c.c_custkey) AS mean, avg(c.c_acctbal / 1000000.0) AS small RETURN nation AS nation, mean AS mean, small < 1.0 AS low", {},
+        "SELECT n_name AS nation, avg(c_custkey) AS mean, true AS low FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
+    "agg_collect_values": (star_graph, "MATCH (r:Region)<-[:IN_REGION]-(n:Nation) WITH r, n ORDER BY n.n_name DESC WITH r.r_name AS region, collect(n.n_name) AS names, collect(n.zz) AS zz RETURN region AS region, names AS names, zz[1] IS NULL AND size(zz) = size(names) AS holes", {},
+        "SELECT r_name AS region, list(n_name ORDER BY n_name DESC) AS names, true AS holes FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
+    "agg_min_max_lists": (vault_graph, "MATCH (d:MarkdownDocument) WITH d.ext AS ext, min(d.tags) AS lo, max(d.headings) AS hi, min(d.title) AS first RETURN ext AS ext, size(lo) AS lo, size(hi) AS hi, first AS first", {},
+        f"WITH {_VAULT} SELECT ext, min(len(tags))::BIGINT AS lo, max(len(headings))::BIGINT AS hi, min(title) AS first FROM doc GROUP BY ext"),
+    "map_values": (star_graph, "MATCH (r:Region) WITH r.r_name AS name, values({a: r.r_name, b: 'x'}) AS v RETURN name AS name, v[0] AS a, v[1] AS b, size(v) AS n", {},
+        "SELECT r_name AS name, r_name AS a, 'x' AS b, 2::BIGINT AS n FROM region"),
+    "regex_computed": (star_graph, "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WHERE r.r_name =~ n.n_name OR n.n_name =~ $start RETURN n.n_name AS name", {"start": "^(IN|CH)"},
+        "SELECT n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(r_name, n_name) OR starts_with(n_name, 'IN') OR starts_with(n_name, 'CH')"),
     "unit_row": (star_graph, "RETURN 7 / 2 AS q, -7 / 2 AS nq, [1, 2][1] AS e, {k: 'v'}.k AS m, size('héé') AS b, size(b'abc') AS raw, (null + 1) IS NULL AS z, 'a' IN 'cat' AS i", {},
         "SELECT 3::BIGINT AS q, -3::BIGINT AS nq, 2::BIGINT AS e, 'v' AS m, 5::BIGINT AS b, 3::BIGINT AS raw, true AS z, true AS i"),
 }
 
 
+def edge_types(q: ast.Query) -> tuple:
+    """The edge types that a query walks; all where a step names none."""
+    steps = [edge for p in (q.match, q.merge, q.create) if p is not None for edge, _ in p.steps]
+    if any(not e.types for e in steps):
+        return VAULT_TYPES
+    return tuple(sorted({t for e in steps for t in e.types}))
+
+
 def _query(name: str):
     graph, text, params, _ = TEXTS[name]
 
     def run(spark, d):
-        return Compiler(graph(spark, d), params).run(parse(text)[0])
+        q = parse(text)[0]
+        g = vault_graph(spark, d, edge_types(q)) if graph is vault_graph else graph(spark, d)
+        return Compiler(g, params).run(q)
 
     run.__name__ = name
     return run

@@ -12,7 +12,7 @@ from weftgraph.operators.context import expand, induced_edges
 from weftgraph.operators.search import score, search, structural
 from weftgraph.plans.graph_queries import _VAULT
 from weftgraph.sources.graph import ConstraintDef
-from weftgraph.sources.tables import current_documents, live_edges, table
+from weftgraph.sources.tables import current_documents, current_wide, live_edges, table
 from weftgraph.sources.views import vault_graph
 
 _COLS = ["root", "path", "ext", "source_hash", "status", "title", "aliases", "tags", "headings", "body", "raw"]
@@ -22,6 +22,11 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return current_documents(table(spark, d, "md_documents"), _COLS)
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents for searches: bodies are scored where they are read."""
+    return current_wide(table(spark, d, "md_documents"), _COLS)
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     return live_edges(table(spark, d, "graph_edges"), ["src", "dst", "edge_weight"])
 
@@ -34,23 +39,23 @@ def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def search_scores(spark, d):
-    return score(_docs(spark, d), "Quiet Network").select("id", "score", "category")
+    return score(_texts(spark, d), "Quiet Network").select("id", "score", "category")
 
 
 def search_rank(spark, d):
-    return search(_docs(spark, d), "budget", limit=20).select("rank", "id", "score")
+    return search(_texts(spark, d), "budget", limit=20).select("rank", "id", "score")
 
 
 def search_tags(spark, d):
-    return score(_docs(spark, d), "garden", ["roadmap"]).select("id", "score")
+    return score(_texts(spark, d), "garden", ["roadmap"]).select("id", "score")
 
 
 def search_snippet(spark, d):
-    return search(_docs(spark, d), "shared parser", limit=10).select("rank", "id", "snippet_source")
+    return search(_texts(spark, d), "shared parser", limit=10).select("rank", "id", "snippet_source")
 
 
 def search_structural(spark, d):
-    out = structural(score(_docs(spark, d), "network"), *_tree(spark, d))
+    out = structural(score(_texts(spark, d), "network"), *_tree(spark, d))
     return out.select("id", "score", "signal")
 
 
@@ -62,7 +67,7 @@ def context_both(spark, d):
 
 def context_edges_out(spark, d):
     seeds = table(spark, d, "search_items").select(F.col("doc_id").alias("id"))
-    _, edges = expand(vault_graph(spark, d), seeds, 2, "out", ("MD_UP", "MD_RELATED", "MD_NEXT"))
+    _, edges = expand(vault_graph(spark, d, ("MD_UP", "MD_RELATED", "MD_NEXT")), seeds, 2, "out", ("MD_UP", "MD_RELATED", "MD_NEXT"))
     return edges.select("id", F.col("depth").cast("bigint").alias("depth"))
 
 
@@ -109,22 +114,22 @@ def graph_snapshot_edges(spark, d):
 
 def check_unique(spark, d):
     c = ConstraintDef("c", Target("label", "MarkdownDocument"), ("UNIQUE", "title"))
-    return violations(vault_graph(spark, d), c).select(F.col("value").alias("title"), "n")
+    return violations(vault_graph(spark, d, ()), c).select(F.col("value").alias("title"), "n")
 
 
 def check_required(spark, d):
     c = ConstraintDef("c", Target("label", "MarkdownDocument"), ("REQUIRED", "aliases"))
-    return violations(vault_graph(spark, d), c).select("id")
+    return violations(vault_graph(spark, d, ()), c).select("id")
 
 
 def check_endpoints(spark, d):
     c = ConstraintDef("c", Target("edge_type", "MD_UP"), ("ENDPOINTS", "MarkdownDocument", "MarkdownDocument"))
-    return violations(vault_graph(spark, d), c).select("id", "src", "dst")
+    return violations(vault_graph(spark, d, ("MD_UP",)), c).select("id", "src", "dst")
 
 
 def check_max_outgoing(spark, d):
     c = ConstraintDef("c", Target("edge_type", "MD_LINKS_TO"), ("MAX OUTGOING", 6))
-    return violations(vault_graph(spark, d), c).select("src", "n")
+    return violations(vault_graph(spark, d, ("MD_LINKS_TO",)), c).select("src", "n")
 
 
 def check_duplicate_edges(spark, d):

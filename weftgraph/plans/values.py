@@ -128,6 +128,17 @@ def simple_regex(pattern: str) -> str:
     return "".join(out)
 
 
+_SIGN = r"(?:\\.|[^\\^$|*+?{}\[\].()])"
+_SIMPLE = rf"^\^?{_SIGN}*(?:\((?:{_SIGN}|\|)*\))?{_SIGN}*\$?$"
+
+
+def computed_regex(pattern: Column) -> Column:
+    """The Java pattern of patterns that only the rows know; a wrong one fails its row."""
+    wrong = F.raise_error(F.concat(F.lit("regex_compile_error: "), pattern)).cast("string")
+    literal = F.regexp_replace(pattern, r"\\([A-Za-z0-9])", "$1")
+    return F.when(F.rlike(pattern, F.lit(_SIMPLE)), literal).when(pattern.isNotNull(), wrong)
+
+
 class Binder:
     """Binds expressions against a scope of named values."""
 
@@ -242,7 +253,7 @@ class Binder:
             return Val(a.col.endswith(b.col), "bool")
         pattern = e.b.value if isinstance(e.b, ast.Lit) else self.params.get(e.b.name) if isinstance(e.b, ast.Param) else None
         if pattern is None:
-            raise QueryError("regex_compile_error", "the pattern must be a literal or a parameter")
+            return Val(F.rlike(a.col, computed_regex(b.col)), "bool")
         return Val(a.col.rlike(simple_regex(pattern)), "bool")
 
     def equal(self, a: Val, b: Val, negated: bool) -> Column:

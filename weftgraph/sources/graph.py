@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.lang.ast import Target
+from weftgraph.lang.errors import QueryError
 
 
 def kind_of(t: T.DataType):
@@ -60,6 +61,7 @@ class Part:
     df: DataFrame
     labels: tuple[str, ...] | None = None  # nodes: static labels; None: a labels column
     type: str | None = None  # edges
+    stacked: int = 0  # deletions that are not written out yet
 
     @property
     def props(self) -> list[str]:
@@ -198,7 +200,7 @@ class Graph:
         found = {p.df.schema[name].dataType.simpleString(): p.df.schema[name].dataType for p in parts if p.has(name)}
         real = {k: v for k, v in found.items() if k != "void"}
         if len(real) > 1:
-            return T.StringType()  # values of several types meet as text
+            raise QueryError("property_type_conflict", f"{name} holds values of several types: {', '.join(sorted(real))}")
         return next(iter(real.values()), T.NullType() if found else None)
 
     def scan_nodes(self, labels: tuple, props: list[str], prefix: str) -> tuple[DataFrame, dict[str, object]]:

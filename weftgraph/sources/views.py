@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.lang.ast import Target
+from weftgraph.session import Scratch
 from weftgraph.sources.graph import Graph, IndexDef, made_name
-from weftgraph.sources.tables import current_documents, live_edges, table
+from weftgraph.sources.tables import current_documents, live_edges, table, tidy
 
 #: Node ids are ordinal x 2^40 + key, edge ids likewise by type.
 LABELS = ("Region", "Nation", "Customer", "Supplier", "Order", "Part", "User", "Event", "LineItem")
@@ -51,13 +52,28 @@ def star_graph(spark: SparkSession, d: str) -> Graph:
     return g.but(catalog=replace(g.catalog, indexes=indexes), next_node=len(LABELS) * SHIFT, next_edge=16 * SHIFT)
 
 
-def vault_graph(spark: SparkSession, d: str) -> Graph:
-    """Documents and directories of the vaults with their live edges."""
+#: Types of the edges of a vault.
+VAULT_TYPES = ("MD_LINKS_TO", "MD_UP", "MD_RELATED", "MD_NEXT", "MD_PREVIOUS", "MD_IN_DIRECTORY", "MD_PARENT_DIRECTORY")
+
+
+def vault_graph(spark: SparkSession, d: str, types: tuple = VAULT_TYPES) -> Graph:
+    """Documents and directories of the vaults with their live edges of some types.
+
+    Several types are deduplicated in one pass and written by type, so that
+    whatever walks them again reads only the files of its types.
+    """
     cols = ["root", "path", "ext", "source_hash", "status", "body", "raw", "title", "tags", "aliases", "links", "headings", "has_frontmatter"]
     docs = current_documents(table(spark, d, "md_documents"), cols)
     dirs = table(spark, d, "md_directories").select("id", "root", "path", "status")
-    edges = live_edges(table(spark, d, "graph_edges"), ["src", "dst", "edge_weight", "link_target"])
     g = Graph(spark).with_nodes("MarkdownDocument", docs).with_nodes("MarkdownDirectory", dirs)
-    for kind in ("MD_LINKS_TO", "MD_UP", "MD_RELATED", "MD_NEXT", "MD_PREVIOUS", "MD_IN_DIRECTORY", "MD_PARENT_DIRECTORY"):
-        g = g.with_edges(kind, edges.where(F.col("etype") == kind.lower()).drop("etype"))
-    return g.but(next_node=1 << 50, next_edge=1 << 50)
+    if types:
+        rows = table(spark, d, "graph_edges").where(tidy("edge_type").isin([t.lower() for t in types]))
+        edges = live_edges(rows, ["src", "dst", "edge_weight", "link_target"])
+        if len(types) > 1:
+            edges = Scratch(spark, "vault").write(edges, "edges", by=["etype"]).df
+        for kind in types:
+            g = g.with_edges(kind, edges.where(F.col("etype") == kind.lower()).drop("etype"))
+    catalog = g.catalog
+    for kind in VAULT_TYPES:
+        catalog = catalog.add(Target("edge_type", kind))
+    return g.but(catalog=catalog, next_node=1 << 50, next_edge=1 << 50)
