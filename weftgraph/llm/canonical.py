@@ -169,8 +169,11 @@ def match(names: DataFrame, name: str, references: DataFrame, ref_id: str, ref_n
     near = near.select("__plain", _squash("__plain").alias("sq"), F.explode(_places(sizes_of)).alias("w"))
     near = near.select("__plain", "w.id", F.substring("sq", F.col("w.off") + 1, F.col("w.len")).alias("sq"), F.col("w.len").alias("qlen"))
     near = near.where((F.col("qlen") <= bound[1] + k) & (F.col("qlen") >= bound[2] - k) & (F.col("qlen") > 0))
-    probe = near.select("*", F.explode(F.sequence(F.lit(0), F.col("qlen") - 1)).alias("p"))
-    probe = probe.select("__plain", "id", "qlen", "p", F.explode(F.array(*[F.substring("sq", F.col("p") + 1, F.lit(size)) for size in sizes])).alias("piece"))
+    # only the lengths that segments of references of about this length have
+    least, most = F.greatest(F.lit(min(sizes)), F.floor((F.col("qlen") - k) / (k + 1))), F.least(F.lit(max(sizes)), F.ceil((F.col("qlen") + k) / (k + 1)))
+    probe = near.withColumn("sizes", F.sequence(least.cast("int"), F.greatest(least, most).cast("int")))
+    probe = probe.select("*", F.explode(F.sequence(F.lit(0), F.col("qlen") - 1)).alias("p"))
+    probe = probe.select("__plain", "id", "qlen", "p", "sq", F.explode("sizes").alias("size")).select("__plain", "id", "qlen", "p", F.substring("sq", F.col("p") + 1, F.col("size")).alias("piece"))
     hits = probe.join(segs, "piece").where((F.abs(F.col("p") - F.col("at")) <= F.col("edits")) & (F.abs(F.col("qlen") - F.col("rlen")) <= F.col("edits")))
     hits = hits.select("__plain", "rid", "ref", "id").distinct()
     hits = hits.withColumn("w", _window(F.split("__plain", " "), F.col("id")))
