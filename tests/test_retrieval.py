@@ -103,7 +103,7 @@ def test_health(spark):
     assert health.duplicate_links(edges).count() == 1
     assert {r["check"]: r["state"] for r in health.report(docs, edges).collect()}["duplicate_links"] == "fail"
     files = spark.createDataFrame([("r", "a", "other")], "root string, path string, hash string")
-    assert {(r["id"], r["kind"]) for r in health.stale_documents(docs, files).collect()} == {(1, "hash_mismatch"), (2, "metadata_incomplete"), (2, "missing_file"), (3, "tombstoned_document")}
+    assert {(r["id"], r["kind"]) for r in health.stale_documents(docs, files).collect()} == {(1, "hash_mismatch"), (2, "metadata_incomplete"), (3, "tombstoned_document")}
     a = spark.createDataFrame([("k1", "x"), ("k2", "x")], "key string, v string")
     b = spark.createDataFrame([("k2", "y"), ("k3", None)], "key string, v string")
     assert {tuple(r) for r in health.snapshot_diff(a, b, ["v"]).collect()} == {("k1", "removed"), ("k2", "changed"), ("k3", "added")}

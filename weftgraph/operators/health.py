@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.sources.graph import Graph
+from weftgraph.session import Scratch
+from weftgraph.sources.graph import Catalog, Graph
 from weftgraph.sources.tables import tidy
 
-#: Fields that every document must have (fixed values).
-REQUIRED = ("root", "path", "ext", "source_hash", "status", "title")
+#: Fields that tell where a document comes from; every document must have them (fixed values).
+REQUIRED = ("root", "path", "source_hash", "status")
 DIRECTORY_TYPES = ("md_in_directory", "md_parent_directory")
 
 
@@ -32,7 +33,7 @@ def ambiguous_aliases(docs: DataFrame) -> DataFrame:
 
 def missing_metadata(docs: DataFrame) -> DataFrame:
     """Documents that lack a required field, with the names of what fails."""
-    fails = F.array_compact(F.array(*[F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", F.lit(c)) for c in REQUIRED]))
+    fails = F.array_compact(F.array(*[F.when(_blank(c), F.lit(c)) for c in REQUIRED]))
     return docs.withColumn("missing", fails).where(F.size("missing") > 0)
 
 
@@ -44,57 +45,104 @@ def duplicate_links(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "etype", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def _blank(c: str) -> Column:
+    return F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+
+
 def stale_documents(docs: DataFrame, files: DataFrame, root: str | None = None) -> DataFrame:
     """``id, path, kind`` of documents that no longer agree with the files.
 
-    ``files``: root, path, hash as they are now.  Kinds: metadata_incomplete,
-    root_mismatch, tombstoned_document, missing_file, hash_mismatch.
+    ``files``: root, path, hash as they are now.  Kinds: metadata_incomplete
+    (nothing else is looked at then), root_mismatch, tombstoned_document,
+    missing_file, hash_mismatch.
     """
-    f = files.select("root", "path", F.col("hash").alias("now"), F.lit(True).alias("there"))
+    return _with_kinds(docs, files, root).select("id", "path", F.explode("kinds").alias("kind"))
+
+
+def _with_kinds(docs: DataFrame, files: DataFrame, root: str | None) -> DataFrame:
+    f = files.select("root", "path", F.col("hash").alias("__hash"), F.lit(True).alias("__there"))
     j = docs.join(f, ["root", "path"], "left")
-    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
-    incomplete = blank("root") | blank("path") | blank("source_hash") | blank("status")
-    gone = tidy("status") == "missing"
-    kinds = F.array_compact(F.array(
-        F.when(incomplete, F.lit("metadata_incomplete")),
+    gone, there = F.coalesce(tidy("status") == "missing", F.lit(False)), F.col("__there").isNotNull()
+    seen = F.array_compact(F.array(
         F.when(F.lit(root).isNotNull() & (F.col("root") != F.lit(root)), F.lit("root_mismatch")),
         F.when(gone, F.lit("tombstoned_document")),
-        F.when(~gone & F.col("there").isNull(), F.lit("missing_file")),
-        F.when(~gone & (F.col("now") != F.col("source_hash")), F.lit("hash_mismatch")),
+        F.when((tidy("status") == "current") & ~there, F.lit("missing_file")),
+        F.when(~gone & there & ~F.col("source_hash").eqNullSafe(F.col("__hash")), F.lit("hash_mismatch")),
     ))
-    return j.select("id", "path", F.explode(kinds).alias("kind"))
+    incomplete = _blank("root") | _blank("path") | _blank("source_hash") | _blank("status")
+    return j.withColumn("kinds", F.when(incomplete, F.array(F.lit("metadata_incomplete"))).otherwise(seen)).drop("__hash", "__there")
+
+
+REPORT = "check string, status string, value string"
 
 
-def report(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """``check, n, state``: one row per check, counted in one plan each."""
-    count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
-    ids = docs.select(F.col("id").alias("dst"))
+def report(docs: DataFrame, edges: DataFrame, files: DataFrame, catalog: Catalog | None = None, store: dict | None = None, strict: bool = False) -> DataFrame:
+    """Thirteen checks of a document graph as ``check, status, value``.
+
+    One aggregate per table: documents (with the files and the ends of links
+    beside them), paths, aliases and links; the catalog and the state of the
+    store (from its integrity check) come from the driver.  With ``strict``
+    what would warn fails.
+    """
     links = edges.where(~F.lower("etype").isin(*DIRECTORY_TYPES))
-    checks = [
-        ("documents", count(docs), "info"), ("current_documents", count(current(docs)), "info"), ("tombstones", count(docs.where(tidy("status") == "missing")), "warn"),
-        ("edges", count(edges), "info"), ("link_edges", count(links), "info"), ("orphan_documents", count(orphan_documents(docs, edges)), "warn"),
-        ("ambiguous_aliases", count(ambiguous_aliases(docs)), "warn"), ("missing_metadata", count(missing_metadata(docs)), "fail"),
-        ("duplicate_paths", count(duplicate_paths(docs)), "fail"), ("duplicate_links", count(duplicate_links(edges)), "fail"),
-        ("dangling_links", count(links.join(ids, "dst", "left_anti")), "warn"), ("self_links", count(links.where("src = dst")), "info"),
-        ("unlabelled_tags", count(docs.where(F.coalesce(F.size("tags"), F.lit(0)) <= 0)), "info"),
+    ends = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct().withColumn("__linked", F.lit(1))
+    has = lambda *kinds: F.size(F.filter("kinds", lambda k: k.isin(*kinds)))
+    lacks = _blank(REQUIRED[0])
+    for c in REQUIRED[1:]:
+        lacks = lacks | _blank(c)
+    current_row = tidy("status") == "current"
+    number = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0))
+    narrow = docs.select("id", "root", "path", "source_hash", "status")
+    one = _with_kinds(narrow, files, None).join(ends, "id", "left").agg(
+        F.coalesce(F.sum(has("missing_file", "tombstoned_document")), F.lit(0)).alias("missing_tombstoned_markdown_documents"),
+        F.coalesce(F.sum(has("hash_mismatch")), F.lit(0)).alias("stale_current_markdown_documents"),
+        number(lacks).alias("markdown_documents_missing_source_metadata"),
+        F.coalesce(F.sum(F.size("kinds")), F.lit(0)).alias("stale_items"),
+        number(current_row & F.col("__linked").isNull()).alias("orphan_items"),
+    )
+    paths = duplicate_paths(docs).agg(F.count(F.lit(1)).alias("duplicate_current_markdown_document_paths"))
+    twice = edges.where("etype = 'md_links_to'").groupBy("src", "dst").agg((F.count(F.lit(1)) - 1).alias("n"))
+    twice = twice.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_connector_owned_md_links_to_edges"))
+    aliases = ambiguous_aliases(docs).agg(F.count(F.lit(1)).alias("ambiguous_markdown_aliases"))
+    bad = "fail" if strict else "warn"
+    rows = None
+    for df in (one, paths, twice, aliases):
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("bigint").alias("n")) for c in df.columns]))
+        part = df.select(pairs.alias("p")).select("p.check", F.when(F.col("p.n") > 0, bad).otherwise("pass").alias("status"), F.col("p.n").cast("string").alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    indexes = list((catalog or Catalog()).indexes.values())
+    store = store or {}
+    known = [
+        ("last_tx_id", "pass", str(store.get("tx", 0))), ("wal_records", "pass", str(store.get("versions", 0))),
+        ("recovered_tail", bad if store.get("recovered") else "pass", str(bool(store.get("recovered"))).lower()),
+        ("schema_indexes", bad if any(i.status != "ready" for i in indexes) else "pass", str(len(indexes))),
     ]
-    out = None
-    for name, df, level in checks:
-        state = F.when(F.lit(level) == "info", "pass").when(F.col("n") == 0, "pass").otherwise(level)
-        row = df.select(F.lit(name).alias("check"), "n", state.alias("state"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = rows.unionByName(docs.sparkSession.createDataFrame(known, REPORT))
+    rows = Scratch(docs.sparkSession, "health").cut(rows, "checks")  # the first line sums up the others
+    level = F.max(F.when(F.col("status") == "fail", 2).when(F.col("status") == "warn", 1).otherwise(0))
+    worst = F.when(level == 2, "fail").when(level == 1, "warn").otherwise("pass")
+    return rows.agg(worst.alias("status")).select(F.lit("status").alias("check"), "status", F.col("status").alias("value")).unionByName(rows)
 
 
 def strict_exit(checks: DataFrame) -> int:
     """Exit code of a report: 2 if a check fails, else 0."""
-    return 2 if not checks.where("state = 'fail'").isEmpty() else 0
+    return 2 if not checks.where("status = 'fail'").isEmpty() else 0
+
+
+def citation_audit(rows: DataFrame, required: tuple = ("path", "status", "source_hash")) -> DataFrame:
+    """``rows`` with ``failures``: citation fields that are absent or blank; [] is good.
+
+    ``rows`` may be the documents of a graph or the result of a query; a
+    required column it does not have fails on every row.
+    """
+    absent = [F.lit(c) if c not in rows.columns else F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(c)) for c in required]
+    return rows.withColumn("failures", F.array_compact(F.array(*absent)))
 
 
-def citation_audit(docs: DataFrame) -> DataFrame:
-    """``id, path, failures``: citation fields that are absent or blank; [] is good."""
-    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
-    return docs.select("id", "path", F.array_compact(F.array(*[F.when(blank(c), F.lit(c)) for c in ("root", "path", "source_hash", "status", "title")])).alias("failures"))
+def citation_audit_context(spark: SparkSession, envelope: dict, required: tuple = ("path", "status", "source_hash")) -> DataFrame:
+    """The audit of the nodes of a context envelope (asked for with these properties)."""
+    rows = [(n["node_id"], *[n["properties"].get(c) for c in required]) for n in envelope["nodes"]]
+    return citation_audit(spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{c} string" for c in required)), required)
 
 
 def reindex_report(g: Graph) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime
 import json
 import math
+import os
 import tomllib
 
 from pyspark.sql import DataFrame, Row
 
-DEFAULT_ROWS = 1_000
+#: Rows that a result shows, unless the environment or an option says otherwise.
+DEFAULT_ROWS = int(os.environ.get("WEFTGRAPH_MAX_ROWS") or 1_000)
 CELL_BYTES = 60
 
 
@@ -82,6 +84,15 @@ def params(text: str | None = None, path: str | None = None) -> dict:
 
 
 def config(path: str) -> dict:
-    """Workspace settings: ``db_path``, ``markdown_root``, ``include_fs_graph``."""
+    """Workspace settings of a TOML file: ``db_path``, ``markdown_root``, ``include_fs_graph``.
+
+    A file that is not there gives none.  Relative paths count from its folder.
+    """
+    if not os.path.exists(path):
+        return {}
     with open(path, "rb") as f:
-        return tomllib.load(f)
+        found = tomllib.load(f)
+    flat = found | found.get("package", {}) | found.get("markdown", {})
+    home = os.path.dirname(os.path.abspath(path))
+    out = {k: flat[k] for k in ("db_path", "markdown_root", "include_fs_graph") if k in flat}
+    return out | {k: os.path.normpath(os.path.join(home, out[k])) for k in ("db_path", "markdown_root") if k in out}

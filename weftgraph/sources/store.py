@@ -1,17 +1,21 @@
 """Versioned graph store: Parquet parts and a manifest per version.
 
-Each commit writes the parts that changed into a new version folder and a new
-manifest; ``HEAD`` names the current one and is swapped by a rename.  Parts
-that did not change are referred to where they are.
+Each commit writes the parts that changed into a new version folder, and last a
+manifest, which gets its name by one rename: a version is there with its
+manifest or not at all, and the largest is the current one.  Parts that did not
+change are referred to where they are, with the row count and digest they had.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StructType
 
 from weftgraph.lang.ast import Target
 from weftgraph.lang.errors import QueryError
@@ -23,7 +27,7 @@ FORMAT = 1
 class GraphStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._kept: dict[int, str] = {}
+        self._kept: dict[int, dict] = {}
 
     # ---- small files through the Hadoop file system
 
@@ -38,9 +42,9 @@ class GraphStore:
         out.write(bytearray(text.encode()))
         out.close()
         _, final = self._fs(f"{self.path}/{name}")
-        fs.delete(final, False)
-        if not fs.rename(p, final):
-            raise QueryError("storage_write_failed", f"cannot write {name}")
+        if fs.exists(final) or not fs.rename(p, final):
+            fs.delete(p, False)
+            raise QueryError("storage_write_failed", f"cannot write {name}: another session may have written it")
 
     def _get(self, name: str) -> str | None:
         fs, p = self._fs(f"{self.path}/{name}")
@@ -53,23 +57,39 @@ class GraphStore:
 
     # ---- versions
 
+    def versions(self) -> list[int]:
+        """The versions that are complete, in order."""
+        fs, root = self._fs(self.path)
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        return sorted(int(m[1]) for m in (re.fullmatch(r"manifest-(\d+)\.json", n) for n in names) if m)
+
     def version(self) -> int:
-        head = self._get("HEAD")
-        return int(head) if head else 0
+        return max(self.versions(), default=0)
+
+    @staticmethod
+    def _digest(df: DataFrame) -> list:
+        """Row count and an order-free digest of all values."""
+        cols = [F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+        h = F.xxhash64(*cols)
+        r = df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64(h, F.lit(1))), F.lit(0))).first()
+        return [r[0], f"{r[1] & (1 << 64) - 1:016x}{r[2] & (1 << 64) - 1:016x}"]
 
     def save(self, g: Graph) -> int:
         """Write a version; returns its number."""
         v = self.version() + 1
+        folder = f"v{v}-{uuid.uuid4().hex[:8]}"
         parts = {"nodes": [], "edges": []}
         for kind, own in (("nodes", g.nodes), ("edges", g.edges)):
             for k, p in enumerate(own):
-                place = self._kept.get(id(p.df))
-                if place is None:
-                    place = f"v{v}/{kind}-{k}"
+                known = self._kept.get(id(p.df))
+                if known is None:
+                    place = f"{folder}/{kind}-{k}"
                     p.df.write.mode("overwrite").parquet(f"{self.path}/{place}")
-                    self._kept[id(p.df)] = place
-                rows = self.spark.read.schema(p.df.schema).parquet(f"{self.path}/{place}").count()
-                parts[kind].append({"path": place, "labels": p.labels, "type": p.type, "schema": p.df.schema.json(), "rows": rows})
+                    rows, digest = self._digest(self.spark.read.schema(p.df.schema).parquet(f"{self.path}/{place}"))
+                    known = self._kept[id(p.df)] = {"path": place, "rows": rows, "digest": digest}
+                parts[kind].append({"labels": p.labels, "type": p.type, "schema": p.df.schema.json(), **known})
         c = g.catalog
         manifest = {
             "format": FORMAT, "version": v, "tx": g.tx, "next_node": g.next_node, "next_edge": g.next_edge, **parts,
@@ -79,7 +99,6 @@ class GraphStore:
         }
         self._keep = [p.df for p in (*g.nodes, *g.edges)]  # ids above stay taken
         self._put(f"manifest-{v}.json", json.dumps(manifest))
-        self._put("HEAD", str(v))
         return v
 
     def _manifest(self, version: int | None = None) -> dict:
@@ -93,8 +112,6 @@ class GraphStore:
         return m
 
     def _read(self, part: dict) -> DataFrame:
-        from pyspark.sql.types import StructType
-
         return self.spark.read.schema(StructType.fromJson(json.loads(part["schema"]))).parquet(f"{self.path}/{part['path']}")
 
     def load(self, version: int | None = None) -> Graph:
@@ -102,7 +119,7 @@ class GraphStore:
 
         def part(p: dict) -> Part:
             df = self._read(p)
-            self._kept[id(df)] = p["path"]
+            self._kept[id(df)] = {k: p[k] for k in ("path", "rows", "digest")}
             return Part(df, tuple(p["labels"]) if p["labels"] is not None else None, p["type"])
 
         target = lambda t: Target(t["kind"], t["name"])
@@ -116,19 +133,36 @@ class GraphStore:
         return g
 
     def check(self) -> dict:
-        """Counts of the manifest against the files."""
+        """Counts and digests of the manifest against the files.
+
+        ``recovered``: files of a write that never became a version are left
+        over; they do no harm, and compacting removes them.
+        """
         m = self._manifest()
-        bad = [p["path"] for p in (*m["nodes"], *m["edges"]) if self._read(p).count() != p["rows"]]
-        return {"ok": not bad, "version": m["version"], "format": m["format"], "parts": len(m["nodes"]) + len(m["edges"]), "damaged": bad}
+        parts = [*m["nodes"], *m["edges"]]
+        bad = [p["path"] for p in parts if self._damaged(p)]
+        every = [self._manifest(v) for v in self.versions()]
+        named = {p["path"].split("/")[0] for w in every for p in (*w["nodes"], *w["edges"])}
+        fs, root = self._fs(self.path)
+        stray = [n for s in fs.listStatus(root) if not re.fullmatch(r"manifest-\d+\.json", n := s.getPath().getName()) and n not in named]
+        return {"ok": not bad, "version": m["version"], "format": m["format"], "parts": len(parts), "damaged": bad, "tx": m["tx"], "versions": len(self.versions()), "recovered": bool(stray)}
+
+    def _damaged(self, part: dict) -> bool:
+        try:
+            return self._digest(self._read(part)) != [part["rows"], part["digest"]]
+        except Exception:  # files that are gone or cannot be read
+            return True
 
-    def backup(self, to: str) -> None:
-        """A copy of the current version under another path."""
-        GraphStore(self.spark, to).save(self.load())
+    def backup(self, to: str) -> dict:
+        """A copy of the current version under another path, checked."""
+        copy = GraphStore(self.spark, to)
+        copy.save(self.load())
+        return {"backup": to, "check": copy.check()}
 
     def compact(self) -> None:
         """Delete manifests and version folders that the current version does not use."""
         m = self._manifest()
-        used = {p["path"].split("/")[0] for p in (*m["nodes"], *m["edges"])} | {f"manifest-{m['version']}.json", "HEAD"}
+        used = {p["path"].split("/")[0] for p in (*m["nodes"], *m["edges"])} | {f"manifest-{m['version']}.json"}
         fs, root = self._fs(self.path)
         for s in fs.listStatus(root):
             if s.getPath().getName() not in used:
