@@ -92,11 +92,21 @@ class Scratch:
         path = f"{self.base}/{self._n:03d}-{name}"
         schema = df.schema
         df.write.mode("overwrite").parquet(path, partitionBy=by)
+        self._register()
+        return Table(self.spark, path, schema)
+
+    def folder(self) -> str:
+        """The folder itself, for what writes its own files there; it goes like the tables."""
+        fs, p = _file_system(self.spark, self.base)
+        fs.mkdirs(p)
+        self._register()
+        return self.base
+
+    def _register(self) -> None:
         if self.base not in _OPEN:
             _OPEN[self.base] = self
             fs, p = _file_system(self.spark, self.base)
             fs.deleteOnExit(p)  # also where this process ends without its own exit handlers
-        return Table(self.spark, path, schema)
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         return self.write(df, name).df

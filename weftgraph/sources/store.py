@@ -11,9 +11,10 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructType
 
@@ -22,6 +23,8 @@ from weftgraph.lang.errors import QueryError
 from weftgraph.sources.graph import Catalog, ConstraintDef, Graph, IndexDef, Part
 
 FORMAT = 1
+#: Parts written or checked at the same time.
+WRITERS = 8
 
 
 class GraphStore:
@@ -69,27 +72,32 @@ class GraphStore:
         return max(self.versions(), default=0)
 
     @staticmethod
-    def _digest(df: DataFrame) -> list:
-        """Row count and an order-free digest of all values."""
+    def _sums(df: DataFrame) -> list[Column]:
+        """Row count and an order-free digest of all values, in two halves."""
         cols = [F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in df.schema.fields]
         h = F.xxhash64(*cols)
-        r = df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64(h, F.lit(1))), F.lit(0))).first()
-        return [r[0], f"{r[1] & (1 << 64) - 1:016x}{r[2] & (1 << 64) - 1:016x}"]
+        return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("a"), F.coalesce(F.bit_xor(F.xxhash64(h, F.lit(1))), F.lit(0)).alias("b")]
+
+    @staticmethod
+    def _entry(sums: dict) -> dict:
+        return {"rows": sums["rows"], "digest": f"{sums['a'] & (1 << 64) - 1:016x}{sums['b'] & (1 << 64) - 1:016x}"}
 
     def save(self, g: Graph) -> int:
         """Write a version; returns its number."""
         v = self.version() + 1
         folder = f"v{v}-{uuid.uuid4().hex[:8]}"
+        own = [("nodes", k, p) for k, p in enumerate(g.nodes)] + [("edges", k, p) for k, p in enumerate(g.edges)]
+
+        def write(kind: str, k: int, p: Part) -> None:
+            place, seen = f"{folder}/{kind}-{k}", Observation()  # counted while it is written
+            p.df.observe(seen, *self._sums(p.df)).write.mode("overwrite").parquet(f"{self.path}/{place}")
+            self._kept[id(p.df)] = {"path": place, **self._entry(seen.get)}
+
+        with ThreadPoolExecutor(WRITERS) as pool:  # small parts side by side
+            list(pool.map(lambda x: write(*x), [x for x in own if id(x[2].df) not in self._kept]))
         parts = {"nodes": [], "edges": []}
-        for kind, own in (("nodes", g.nodes), ("edges", g.edges)):
-            for k, p in enumerate(own):
-                known = self._kept.get(id(p.df))
-                if known is None:
-                    place = f"{folder}/{kind}-{k}"
-                    p.df.write.mode("overwrite").parquet(f"{self.path}/{place}")
-                    rows, digest = self._digest(self.spark.read.schema(p.df.schema).parquet(f"{self.path}/{place}"))
-                    known = self._kept[id(p.df)] = {"path": place, "rows": rows, "digest": digest}
-                parts[kind].append({"labels": p.labels, "type": p.type, "schema": p.df.schema.json(), **known})
+        for kind, _, p in own:
+            parts[kind].append({"labels": p.labels, "type": p.type, "schema": p.df.schema.json(), **self._kept[id(p.df)]})
         c = g.catalog
         manifest = {
             "format": FORMAT, "version": v, "tx": g.tx, "next_node": g.next_node, "next_edge": g.next_edge, **parts,
@@ -140,7 +148,8 @@ class GraphStore:
         """
         m = self._manifest()
         parts = [*m["nodes"], *m["edges"]]
-        bad = [p["path"] for p in parts if self._damaged(p)]
+        with ThreadPoolExecutor(WRITERS) as pool:
+            bad = [p["path"] for p, b in zip(parts, pool.map(self._damaged, parts)) if b]
         every = [self._manifest(v) for v in self.versions()]
         named = {p["path"].split("/")[0] for w in every for p in (*w["nodes"], *w["edges"])}
         fs, root = self._fs(self.path)
@@ -149,7 +158,8 @@ class GraphStore:
 
     def _damaged(self, part: dict) -> bool:
         try:
-            return self._digest(self._read(part)) != [part["rows"], part["digest"]]
+            df = self._read(part)
+            return self._entry(df.agg(*self._sums(df)).first().asDict()) != {"rows": part["rows"], "digest": part["digest"]}
         except Exception:  # files that are gone or cannot be read
             return True
 
