@@ -7,6 +7,7 @@ import random
 import time
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,7 @@ def test_canonical_names(spark):
     cases = {
         "harbor bulletin": 1, "HarborBulletin": 1, "harbor_bulletin-v2": 1, "Bulletin, Harbor": 1, "Hrabor Buletin": 1, "the Harbor Bulletin page": 1, "Harbоr Bulletins": 1, "Härbör Bülletin (draft)": 1,
         "juniperhandovernorth": 2, "Handover, Juniper South": 3, "Juniper Handover": -1, "stlaxezequ klkujasise": 3, "Lago. Workbench": 4, "1agoon w0rkbench": 4, "Esturay Pipelnie": 5,
+        "the Lagoon Workbench page": 4, "estuary_pipeline-v2": 5,  # the, page and v2 stand around several names
         "Harbor Lasagne": -1, "Lagoon Picnic": -1, "harbor": -1, "": -1, "  ": -1, "x" * 5000: -1, None: -1, "TODO": -1,
     }
     names = spark.createDataFrame([(t, "keep") for t in cases] + [("harbor bulletin", "keep")], "typed string, d string")
@@ -173,6 +175,13 @@ def test_canonical_finds_every_close_name(spark):
     assert got.where("match_id <> want").count() == 0
 
 
+def test_canonical_fillers_come_from_the_data(spark):
+    refs = spark.createDataFrame([(1, "Harbor Bulletin"), (2, "Lagoon Workbench"), (3, "Estuary Pipeline"), (4, "Harbor Bulletin North")], "cid bigint, n string")
+    names = ["zum Harbor Bulletin", "zum Lagoon Workbench heft", "Estuary Pipeline heft", "Harbor Bulletin quark", "Harbor Bulletin North", "zum heft", "Harbor Bulletin Pipeline", "zum quark Harbor Bulletin"]
+    got = {r["typed"]: r["match_id"] for r in canonical.match(spark.createDataFrame([(n,) for n in names], "typed string"), "typed", refs, "cid", "n").collect()}
+    assert got == {"zum Harbor Bulletin": 1, "zum Lagoon Workbench heft": 2, "Estuary Pipeline heft": 3, "Harbor Bulletin quark": -1, "Harbor Bulletin North": 4, "zum heft": -1, "Harbor Bulletin Pipeline": -1, "zum quark Harbor Bulletin": -1}
+
+
 # ---- p5
 
 def test_log_entropy_against_formula(spark):
@@ -197,6 +206,15 @@ def test_log_entropy_against_formula(spark):
     assert terms.log_entropy(df.limit(0), "id", terms.term_list(F.col("text"))).count() == 0
 
 
+def test_terms_of_unique_records(spark):
+    df = spark.createDataFrame([(1, "b a b b é a b"), (2, "a"), (3, None), (4, "..."), (5, "é " * 5000 + "z")], "id bigint, text string")
+    words = terms.term_list(F.col("text"))
+    one, many = (sorted(tuple(x) for x in terms.record_terms(df, "id", words, unique=u).collect()) for u in (True, False))
+    assert one == many == [(1, "a", 2), (1, "b", 4), (1, "é", 1), (2, "a", 1), (5, "z", 1), (5, "é", 5000)]
+    top = terms.top_terms(terms.log_entropy(df, "id", words, unique=True), 2)
+    assert {(x["key"], x["place"], x["term"]) for x in top.collect()} >= {(1, 1, "b"), (5, 1, "é")} and top.where("place > 2").count() == 0
+
+
 # ---- p7
 
 @pytest.mark.parametrize("block", [2, 3, 64])
@@ -274,6 +292,17 @@ def test_pivotal_keeps_expectations():
         assert sum(x[k] for x in runs) / len(runs) == pytest.approx(p[k], abs=0.04)
 
 
+def test_mix_of_a_record_that_repeats(spark, monkeypatch):
+    """A third of all rows are one record: it is rounded as one line and given as rows again."""
+    ship(spark)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    df = spark.createDataFrame([(7, "a", 10)] * 300 + [(100 + i, "a", 10) for i in range(300)] + [(1000 + i, "b", 10) for i in range(300)], "id bigint, src string, size bigint")
+    chosen, _ = mixing.mix(df, "id", "src", "size", spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "src_name string, target_share double, max_repeats int"))
+    n = {x["src"]: x["n"] for x in chosen.groupBy("src").agg(F.sum("n_copies").alias("n")).collect()}
+    assert n["b"] == 300 and abs(n["a"] - 300) <= 1
+    assert abs(chosen.where("id = 7").count() - 150) <= 1
+
+
 def test_mix_shares(spark, monkeypatch):
     ship(spark)
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 40)
@@ -305,16 +334,29 @@ CLEAN = [
 ]
 
 
+@pytest.fixture(scope="module")
+def corpus():
+    """Texts of the smaller corpora, clean as far as the spans tell."""
+    return [r[0] for d in ("sf0.01", "sf0.001") for r in duckdb.sql(f"SELECT text FROM '/root/testdata/{d}/documents.parquet' WHERE text <> '' ORDER BY doc_id").fetchall()]
+
+
+@pytest.fixture(scope="module")
+def letters(corpus):
+    return mojibake.fit_letters(corpus)
+
+
 @pytest.mark.parametrize("text", CLEAN)
-def test_clean_text_is_left_alone(text):
+def test_clean_text_is_left_alone(text, letters):
     assert mojibake.repair(text) == text and not (mojibake.suspect(text) and mojibake.repair(text) != text)
+    assert mojibake.repair(text, letters) == text
 
 
 @pytest.mark.parametrize("page", ["cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "iso8859_15"])
 @pytest.mark.parametrize("text", [CLEAN[0], CLEAN[1], CLEAN[5]])
-def test_utf8_read_as_a_legacy_page(page, text):
+def test_utf8_read_as_a_legacy_page(page, text, letters):
     bad = "".join(bytes([b]).decode(page, "strict") if _fits(b, page) else chr(b) for b in text.encode())
-    assert mojibake.suspect(bad)
+    assert mojibake.suspect(bad) and mojibake.suspect(bad, letters)
+    assert mojibake.repair(bad, letters) == text
     good = mojibake.repair(bad)
     assert sum(a != b for a, b in zip(good, text)) <= 2 and abs(len(good) - len(text)) <= 2, good
 
@@ -327,14 +369,14 @@ def _fits(b, page):
     return True
 
 
-def test_double_and_partial_and_lost():
+def test_double_and_partial_and_lost(letters):
     twice = "café – “ok”".encode().decode("cp1252", "ignore")
     assert mojibake.repair("é".encode().decode("cp1252").encode().decode("cp1252")) == "é"
     assert mojibake.repair("Les dÃ©pens, évalués à 38 €") == "Les dépens, évalués à 38 €"
     assert mojibake.repair(twice)[:6] == "café –"
-    assert mojibake.repair("возражает, ссылаясь".encode("cp1251").decode("latin-1")) == "возражает, ссылаясь"
-    assert mojibake.repair("требование о возмещении".encode("cp1251").decode("koi8_r")) == "требование о возмещении"
-    assert mojibake.repair("wyrażony pogląd".encode("cp1250").decode("cp1252")) == "wyrażony pogląd"
+    assert mojibake.repair("возражает, ссылаясь".encode("cp1251").decode("latin-1"), letters) == "возражает, ссылаясь"
+    assert mojibake.repair("требование о возмещении".encode("cp1251").decode("koi8_r"), letters) == "требование о возмещении"
+    assert mojibake.repair("wyrażony pogląd".encode("cp1250").decode("cp1252"), letters) == "wyrażony pogląd"
 
 
 def test_repair_goes_on_until_nothing_changes():
@@ -352,8 +394,8 @@ def test_repair_goes_on_until_nothing_changes():
 
 @pytest.mark.parametrize("meant", ["cp1250", "iso8859_2"])
 @pytest.mark.parametrize("seen", ["cp1252", "latin-1"])
-def test_gate_keeps_every_pair_of_polish_letters(meant, seen):
-    assert all(mojibake.suspect(t) for t in ("ka¿ê", "wyra¿ê", "dr¿ê")) and mojibake.repair("wyra¿ê") == "wyrażę"
+def test_gate_keeps_every_pair_of_polish_letters(meant, seen, letters):
+    assert all(mojibake.suspect(t, letters) for t in ("ka¿ê", "wyra¿ê", "dr¿ê")) and mojibake.repair("wyra¿ony", letters) == "wyrażony"
     turned = 0
     for x, y in itertools.product("ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", repeat=2):
         for form in (f"ka{x}{y}", f"{x}{y}ka", f"w{x}{y}a", f"to ka{x}{y}, i", f"ka{x} a{y} ma"):
@@ -361,18 +403,63 @@ def test_gate_keeps_every_pair_of_polish_letters(meant, seen):
                 bad = form.encode(meant).decode(seen)
             except UnicodeError:
                 continue
-            if mojibake.repair(bad) != bad:
+            if mojibake.repair(bad, letters) != bad:
                 turned += 1
-                assert mojibake.suspect(bad), bad
+                assert mojibake.suspect(bad, letters), bad
     assert turned > 100
 
 
-def test_gate_keeps_all_that_repair_changes():
+def test_gate_keeps_all_that_repair_changes(letters):
     r = random.Random(11)
     signs = "aekzAZ ,.;?\n" + "¹³¿Ÿ¶±¼¯¦\x80\x9c\x9f\ufffdêæñóàÿÃÂ©ÐÑàáâãРСЂѓжаст├⌐√" + "²°m"
-    for _ in range(30_000):
+    for _ in range(20_000):
         t = "".join(r.choices(signs, k=r.randint(1, 9)))
-        assert mojibake.suspect(t) or (mojibake.repair(t) == t and "\ufffd" not in t), t
+        for m in (None, letters):
+            assert mojibake.suspect(t, m) or (mojibake.repair(t, m) == t and "\ufffd" not in t), t
+
+
+WAYS = [("utf-8", p, "de fr es pl pt ru") for p in ("latin-1", "cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "cp866", "iso8859_2", "iso8859_15")] + [
+    ("cp1251", "latin-1", "ru"), ("cp1251", "koi8_r", "ru"), ("cp1251", "cp866", "ru"), ("cp1250", "cp1252", "pl"), ("iso8859_2", "latin-1", "pl"), ("cp1252", "mac_roman", "de fr es pt"), ("cp1252", "cp1251", "de fr es pt"),
+]
+
+
+@pytest.mark.parametrize("meant, seen, langs", WAYS)
+def test_share_restored_of_clean_texts_that_are_garbled(meant, seen, langs, letters):
+    """Clean decisions garbled in a known way, wholly or in places: found and restored exactly."""
+    r = random.Random(meant + seen)
+    rows = duckdb.sql("SELECT text, lower(trim(lang)) FROM '/root/testdata/sf0.01/documents.parquet' WHERE text <> '' ORDER BY doc_id").fetchall()
+    whole, parts, found = [], [], []
+    for lang in langs.split():
+        texts = [t for t, own in rows if own == lang and not t.isascii() and not mojibake.suspect(t, letters)]
+        for t in r.sample(texts, min(8, len(texts))):
+            try:
+                bad = t.encode(meant).decode(seen)
+                whole.append(mojibake.repair(bad, letters) == t)
+                found.append(mojibake.suspect(bad, letters))
+            except UnicodeError:
+                pass
+            words = t.split(" ")
+            at = r.randrange(len(words))
+            try:
+                there = " ".join(words[at : at + 60]).encode(meant).decode(seen)
+            except UnicodeError:
+                continue
+            bad = " ".join([*words[:at], there, *words[at + 60 :]])
+            if bad != t:
+                parts.append(mojibake.repair(bad, letters) == t)
+                found.append(mojibake.repair(bad, letters) != bad)
+    assert sum(found) >= 0.97 * len(found)
+    assert sum(whole) >= 0.97 * len(whole) and sum(parts) >= (0.9 if meant == "utf-8" else 0.6) * len(parts), (sum(whole) / max(1, len(whole)), sum(parts) / max(1, len(parts)))
+
+
+def test_letter_model_of_a_table(spark, corpus):
+    ship(spark)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(corpus)] + [(0, None), (None, ""), (7, "plain ascii")], "doc_id bigint, text string")
+    model = mojibake.letter_model(df, "text")
+    assert not model.weak and mojibake.repair("wyra¿ony pogl¹d", model) == "wyrażony pogląd"
+    assert mojibake.letter_model(df.limit(0), "text").weak
+    few = mojibake.letter_model(df, "text", texts=300)
+    assert not few.weak
 
 
 def test_restore_table(spark):
