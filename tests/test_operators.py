@@ -1,19 +1,21 @@
 """Hierarchies, orphans and snapshot changes on small and awkward tables."""
 
 import datetime as dt
+import os
 import random
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph import session
 from weftgraph.functions import skew
 from weftgraph.functions.paths import is_path_target, normal_path, path_key, target_key
 from weftgraph.operators.hierarchy import descendants, parent_links, resolve
 from weftgraph.operators.orphans import PARENT, REF, OrphanState
 from weftgraph.operators.snapshots import changes
 from weftgraph.session import ship
-from weftgraph.sources.tables import current_documents, live_edges
+from weftgraph.sources.tables import current_documents, current_wide, live_edges
 
 
 def brute_forest(parent: dict) -> dict:
@@ -75,31 +77,69 @@ def _open(state):
     return {(r["ref_table"], r["row_key"], r["pos"], r["kind"]) for r in state.orphans().collect()}
 
 
+def _refs(spark, *rows):
+    """(table, key of the row, pos, version, key, time, period) as references without shared keys."""
+    return spark.createDataFrame([(*r[:5], None, *r[5:]) for r in rows], REF)
+
+
 def test_orphans_resolve_and_reopen(spark):
-    refs = lambda *x: spark.createDataFrame(list(x), REF)
+    refs = lambda *x: _refs(spark, *x)
     parents = lambda *x: spark.createDataFrame(list(x), PARENT)
     s = OrphanState(spark)
-    s.apply(parents(("a", "ka", False, T[0], T[0])), refs(("t", 1, 0, None, "ka", T[5]), ("t", 2, 0, None, "kb", T[5]), ("t", 2, 0, None, "kb", T[5]), ("t", 3, -1, None, None, T[5]), ("t", None, 0, None, "ka", T[5])))
+    s.apply(parents(("a", "ka", False, T[0], T[0], "01")), refs(("t", 1, 0, None, "ka", T[5], "01"), ("t", 2, 0, None, "kb", T[5], "01"), ("t", 2, 0, None, "kb", T[5], "01"), ("t", 3, -1, None, None, T[5], "01"), ("t", None, 0, None, "ka", T[5], "01")))
     assert _open(s) == {("t", 2, 0, "missing")}
-    s.apply(parents(("b", "kb", False, T[7], T[7])), refs(("t", 4, 0, None, "kb", T[8])))
+    s.apply(parents(("b", "kb", False, T[7], T[7], "02")), refs(("t", 4, 0, None, "kb", T[8], "02")))
     assert _open(s) == {("t", 2, 0, "late")}
-    s.apply(parents(("a", "ka", True, T[0], T[9]), ("b", "kb", False, T[1], T[9])), refs())
+    s.apply(parents(("a", "ka", True, T[0], T[9], "03"), ("b", "kb", False, T[1], T[9], "03")), refs())
     assert _open(s) == {("t", 1, 0, "deleted")}
-    s.apply(parents(), refs(("d", 9, 0, T[1], "zz", T[1]), ("d", 9, 1, T[1], "ka", T[1]), ("d", 9, 0, T[2], "kb", T[2])))
+    s.apply(parents(), refs(("d", 9, 0, T[1], "zz", T[1], "04"), ("d", 9, 1, T[1], "ka", T[1], "04"), ("d", 9, 0, T[2], "kb", T[2], "04")))
     assert _open(s) == {("t", 1, 0, "deleted")}
-    assert {r["batch_no"] for r in s.snapshots().collect()} == {1, 2, 3, 4}
+    got = {r["load_period"]: (r["kind"], r["n_refs"]) for r in s.snapshots().collect()}
+    assert got == {"01": ("missing", 1), "02": ("late", 1), "03": ("deleted", 1), "04": ("deleted", 1)}
     assert s.counts().first()["n_refs"] == 1
 
 
-def test_orphans_batches_do_not_matter(spark):
+def test_shared_parents_hold_everywhere_until_they_go(spark):
+    page = lambda gone, version, period: spark.createDataFrame([("c", "*\nhelp", gone, None, version, period)], PARENT)
+    rows = spark.createDataFrame([("t", k, 0, None, f"v{k}\nhelp", "*\nhelp", T[3], "01") for k in (1, 2)], REF)
+    s = OrphanState(spark).apply(page(False, T[0], "01"), rows)
+    assert _open(s) == set()
+    s.apply(page(True, T[4], "02").unionByName(spark.createDataFrame([("p", "v2\nhelp", False, T[0], T[4], "02")], PARENT)), rows.limit(0))
+    assert _open(s) == {("t", 1, 0, "deleted")}
+
+
+def brute_orphans(ps, rs, last):
+    """Verdicts at the end of a period, by looking at everything anew."""
+    now = {}
+    for p in sorted((p for p in ps if p[5] <= last), key=lambda p: (p[4], p[1], p[2], p[3])):
+        now[p[0]] = p
+    out = set()
+    for t, k, pos, _, key, at, period in rs:
+        if period <= last:
+            mine = [p for p in now.values() if p[1] == key]
+            live = [p[3] for p in mine if not p[2]]
+            kind = "missing" if not mine else "deleted" if not live else "late" if min(live) > at else None
+            if kind:
+                out.add((t, k, pos, kind))
+    return out
+
+
+def test_orphans_batches_do_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
     r = random.Random(5)
-    ps = [(f"p{i}", f"k{i % 30}", r.random() < 0.3, T[r.randrange(12)], T[r.randrange(12)]) for i in range(40)]
-    rs = [("t", i, 0, None, f"k{r.randrange(45)}", T[r.randrange(12)]) for i in range(200)]
+    ps = [(f"p{i % 25}", f"k{i % 12}", r.random() < 0.3, T[r.randrange(12)], dt.datetime(2025, 1, 1) + dt.timedelta(hours=i * 7 % 90), f"{r.randrange(1, 7):02d}") for i in range(60)]
+    rs = [("t", i, 0, None, "k1" if i % 3 == 0 else f"k{r.randrange(16)}", T[r.randrange(12)], f"{r.randrange(1, 7):02d}") for i in range(200)]
     one, many = OrphanState(spark), OrphanState(spark)
-    one.apply(spark.createDataFrame(ps, PARENT), spark.createDataFrame(rs, REF))
-    for k in range(3):
-        many.apply(spark.createDataFrame(ps[k::3], PARENT), spark.createDataFrame(rs[k::3], REF))
-    assert _open(one) == _open(many)
+    one.apply(spark.createDataFrame(ps, PARENT), _refs(spark, *rs))
+    for lo, hi in (("01", "02"), ("03", "03"), ("04", "06")):
+        many.apply(spark.createDataFrame([p for p in ps if lo <= p[5] <= hi], PARENT), _refs(spark, *[x for x in rs if lo <= x[6] <= hi]))
+        assert _open(many) == brute_orphans(ps, rs, hi)
+    assert _open(one) == _open(many) == brute_orphans(ps, rs, "06")
+    seen = {}
+    for x in one.snapshots().collect():
+        seen[x["load_period"]] = seen.get(x["load_period"], 0) + x["n_refs"]
+    assert seen == {p: len(brute_orphans(ps, rs, p)) for p in {f"{k:02d}" for k in range(1, 7)} if brute_orphans(ps, rs, p)}
+    assert {tuple(x) for x in many.snapshots().collect()} == {tuple(x) for x in one.snapshots().collect()}
 
 
 def test_orphans_of_empty_tables(spark):
@@ -174,3 +214,36 @@ def test_current_rows_and_live_edges(spark):
     cols = "id bigint, loaded_at timestamp, edge_type string, status string, valid_to timestamp, src bigint, dst bigint"
     edges = spark.createDataFrame([(1, T[0], " MD_UP", "Current ", None, 1, 2), (1, T[1], " MD_UP", "Current ", None, 1, 2), (2, T[0], "md_up", "missing", None, 1, 2), (3, T[0], "md_up", "current", T[1], 1, 2)], cols)
     assert [tuple(r) for r in live_edges(edges, ["src", "dst"]).collect()] == [(1, 1, 2, "md_up")]
+
+
+def test_current_wide_keeps_one_row_of_each_id(spark, tmp_path):
+    rows = [(1, "a", T[0], T[0], "x"), (1, "b", T[2], T[1], "y"), (1, "b", T[2], T[1], "y"), (2, "c", None, T[0], "z"), (None, "n", T[0], T[0], "w")]
+    spark.createDataFrame(rows, "id bigint, path string, synced_at timestamp, loaded_at timestamp, body string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert sorted(tuple(r) for r in current_wide(docs, ["body"]).collect()) == [(1, "y"), (2, "z")]
+    assert current_wide(docs.limit(0) if False else docs.where("id > 9"), ["body"]).count() == 0
+
+
+def test_scratch_tables_go(spark):
+    root = session.scratch_root(spark).removeprefix("file://") + "/weftgraph"
+    with session.scratch_scope(spark):
+        resolve(spark.createDataFrame([(1, 2)], "node bigint, parent bigint"), spark.createDataFrame([(1,), (2,)], "node bigint")).collect()
+        inside = set(os.listdir(root))
+    assert inside - set(os.listdir(root)) and not [b for b in session._OPEN if os.path.basename(b) in inside - set(os.listdir(root))]
+    s = session.Scratch(spark, "mine")
+    s.cut(spark.range(3))
+    s.close()
+    assert not os.path.exists(s.base.removeprefix("file://"))
+
+
+def test_a_cluster_must_name_the_shared_folder(spark, monkeypatch):
+    class Other:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "local-cluster[3,2,1024]"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(RuntimeError):
+        session.scratch_root(Other)

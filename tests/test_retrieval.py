@@ -6,7 +6,7 @@ import pytest
 from weftgraph.lang.errors import QueryError
 from weftgraph.operators import health
 from weftgraph.operators import search as S
-from weftgraph.operators.context import context, expand, induced_edges, resolve_seeds
+from weftgraph.operators.context import context, context_ndjson, context_table, expand, induced_edges, resolve_seeds
 from weftgraph.plans.server import ToolServer, serve
 from weftgraph.sources import formats
 from weftgraph.sources.graph import Graph
@@ -83,6 +83,18 @@ def test_context_budget(ring):
     assert e.value.code == "context_seed_not_found"
 
 
+def test_context_outputs(ring):
+    e = context(ring, [1, 1], depth=1, max_nodes=3)
+    assert [s["node_ids"] for s in e["seeds"]] == [[1], [1]] and e["retrieval_usage"]["total_payload_bytes"] == len(json.dumps(e).encode())
+    assert e["nodes"][0]["display"] == "n1" and e["nodes"][0]["evidence"] == [{"field": "name", "value": "n1", "source": "property:name"}, {"field": "labels", "value": "P", "source": "labels(n)"}]
+    assert e["edges"][0]["evidence"][1]["value"] == "seed 1 reached node 2 via out edge at depth 1"
+    assert [json.loads(x)["kind"] for x in context_ndjson(e)] == ["context_meta"] + ["context_seed"] * 2 + ["context_node"] * 3 + ["context_edge"] * 3
+    assert context_table(e)[2] == ("node", 0, "1", "P", "n1", "", "")
+    with pytest.raises(QueryError) as x:
+        context(ring, [1], depth=1, max_bytes=200)
+    assert x.value.code == "context_payload_too_large"
+
+
 def test_seeds_beside_a_path_of_very_many_nodes(spark):
     many = spark.range(1, 12_001).selectExpr("id", "'page.md' AS path", "if(id = 11999, ' Current', 'missing') AS status")
     few = spark.createDataFrame([(20_001, "two.md", "current"), (20_002, "two.md", "current"), (20_003, "one.md", "missing"), (20_004, "null.md", None)], "id bigint, path string, status string")
@@ -99,15 +111,19 @@ def test_health(spark):
     edges = spark.createDataFrame([(1, 1, 1, "md_links_to"), (2, 2, 9, "md_in_directory"), (3, 1, 8, "md_up"), (4, 1, 8, "md_up")], "id bigint, src bigint, dst bigint, etype string")
     assert [r["id"] for r in health.orphan_documents(docs, edges).collect()] == [2]
     assert health.ambiguous_aliases(docs).first()["n_paths"] == 2
-    assert {r["id"]: r["missing"] for r in health.missing_metadata(docs).collect()} == {2: ["source_hash"], 3: ["title"]}
+    assert {r["id"]: r["missing"] for r in health.missing_metadata(docs).collect()} == {2: ["source_hash"]}
     assert health.duplicate_links(edges).count() == 1
-    assert {r["check"]: r["state"] for r in health.report(docs, edges).collect()}["duplicate_links"] == "fail"
     files = spark.createDataFrame([("r", "a", "other")], "root string, path string, hash string")
+    got = {r["check"]: (r["status"], r["value"]) for r in health.report(docs, edges, files, strict=True).collect()}
+    assert len(got) == 13 and got["status"] == ("fail", "fail") and got["stale_items"] == ("fail", "3") and got["orphan_items"] == ("fail", "1") and got["recovered_tail"] == ("pass", "false")
+    assert health.strict_exit(health.report(docs, edges, files, strict=True)) == 2 and health.strict_exit(health.report(docs, edges, files)) == 0
     assert {(r["id"], r["kind"]) for r in health.stale_documents(docs, files).collect()} == {(1, "hash_mismatch"), (2, "metadata_incomplete"), (3, "tombstoned_document")}
     a = spark.createDataFrame([("k1", "x"), ("k2", "x")], "key string, v string")
     b = spark.createDataFrame([("k2", "y"), ("k3", None)], "key string, v string")
     assert {tuple(r) for r in health.snapshot_diff(a, b, ["v"]).collect()} == {("k1", "removed"), ("k2", "changed"), ("k3", "added")}
-    assert health.report(docs.limit(0), edges.limit(0)).where("state <> 'pass'").count() == 0
+    assert health.report(docs.limit(0), edges.limit(0), files.limit(0)).where("status <> 'pass'").count() == 0
+    audit = health.citation_audit_context(spark, {"nodes": [{"node_id": 1, "properties": {"path": "a", "status": "current"}}]})
+    assert audit.first()["failures"] == ["source_hash"]
 
 
 def test_formats(spark):
