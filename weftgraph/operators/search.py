@@ -64,7 +64,8 @@ def score(docs: DataFrame, text: str, tags: list[str] | None = None) -> DataFram
             m = q.matched(fold(F.col(name)))
             parts.append(F.struct(F.when(F.size(m) > 0, F.lit(tier + n) - F.size(m)).alias("s"), F.lit(name).alias("f"), m.alias("t")))
     hits = F.filter(F.array(*parts), lambda p: p["s"].isNotNull())
-    df = df.withColumn("_hits", hits).withColumn("_best", F.array_min(F.transform("_hits", lambda p: p["s"])))
+    # a generator of one row: what follows reads the hits and does not look for them again
+    df = df.withColumn("_hits", F.explode(F.array(hits))).withColumn("_best", F.array_min(F.transform("_hits", lambda p: p["s"])))
     title, path = fold(F.col("title")) == q.text, fold(F.col("path")) == q.text
     exact = F.coalesce(title, F.lit(False)) | F.coalesce(path, F.lit(False))
     df = df.where(exact | F.col("_best").isNotNull())
