@@ -8,10 +8,12 @@ import time
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, canonical, cooccurrence, markup, mixing, mojibake, residue, terms
+from weftgraph.llm.letters import WORD, LetterModel, count_pairs
 from weftgraph.session import ship
 
 
@@ -462,6 +464,24 @@ def test_letter_model_of_a_table(spark, corpus):
     assert not few.weak
 
 
+def test_letter_model_counts_every_distinct_text_of_a_table(spark, corpus):
+    ship(spark)
+    pieces = sorted({t[at : at + 400] for t in corpus for at in range(0, len(t), 400)})
+    assert len(pieces) > 6000
+    whole = mojibake.fit_letters(pieces)
+    model = mojibake.letter_model(spark.createDataFrame([(t,) for t in pieces + pieces[:500]], "text string"), "text")
+    assert np.array_equal(model.log, whole.log) and np.array_equal(model.rare, whole.rare)
+
+
+def test_pairs_stay_rare_in_a_larger_corpus(corpus, letters):
+    """Garbled texts that the first fit takes in grow with the corpus; their pairs still give them away."""
+    bad = "wyra¿ony"
+    clean = count_pairs([w for t in corpus if not mojibake.suspect(t, letters) for w in WORD.findall(t)]) * [1, 4]
+    for times in (1, 100, 10_000):
+        model = LetterModel(np.concatenate([clean, count_pairs([bad])]) * [1, times])
+        assert model.odd([bad, "wyrażony"]) == [bad] and mojibake.suspect(bad, model), times
+
+
 def test_restore_table(spark):
     ship(spark)
     rows = [(1, "Les dÃ©pens"), (1, "Les dÃ©pens"), (2, None), (3, ""), (4, "plain"), (5, "na\ufffdve"), (None, "cafÃ©"), (6, "é " * 200_000), (7, "x " * 100_000 + "cafÃ©")]

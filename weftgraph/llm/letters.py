@@ -20,8 +20,9 @@ SINGLE = ("cp1252", "latin-1", "iso8859_15", "cp1250", "iso8859_2", "cp1251", "k
 WORD = re.compile("(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
 #: A model of fewer pairs than this tells nothing.
 LEAST_PAIRS = 5_000
-#: A pair of characters seen less often than this makes a word worth a look.
-RARE = 3
+#: A pair of characters seen less often than this makes a word worth a look; among more
+#: pairs than RARE_IN as many times more, since the garbled texts grow with the corpus.
+RARE, RARE_IN = 3, 2_000_000
 #: Nats by which a word must gain in another page to count as turned, and all turned words of a text together.
 WORD_GAIN, TEXT_GAIN = 4.0, 9.0
 #: Log-likelihood of an unseen pair with a character that no page has.
@@ -108,7 +109,7 @@ class LetterModel:
         other = np.zeros((SIZE, SIZE), bool)
         other[1], other[:, 1] = True, True
         self.log[other & (seen.reshape(SIZE, SIZE) == 0)] = FOREIGN
-        self.rare = (seen < RARE).reshape(SIZE, SIZE)
+        self.rare = (seen < RARE * max(1.0, seen.sum() / RARE_IN)).reshape(SIZE, SIZE)
         self.known: dict[str, bool] = {}
         self.tokens: dict[str, bool] = {}
 

@@ -5,11 +5,11 @@ A byte-structure automaton (the well-formed UTF-8 sequences, as one regular
 expression over the mapped bytes) finds the maximal multibyte spans, and only
 those spans are decoded; the rest of the text is left as it stands.  The pass
 repeats until nothing changes, which undoes double encoding.  Which page a text
-was read in, a model of neighbouring characters decides; it is fitted on a
-sample of the corpus itself, without the texts that hold such spans.  Where the
-automaton rejects the bytes (single-byte text read in another single-byte page),
-the same model scores every pair of pages, for any language.  U+FFFD marks what
-cannot be restored.
+was read in, a model of neighbouring characters decides; it is fitted on all
+texts of the corpus itself but those that hold such spans.  Where the automaton
+rejects the bytes (single-byte text read in another single-byte page), the same
+model scores every pair of pages, for any language.  U+FFFD marks what cannot be
+restored.
 """
 
 from __future__ import annotations
@@ -23,11 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from weftgraph.llm.letters import WORD, LetterModel, count_pairs
+from weftgraph.llm.letters import PROOF, SIZE, WORD, LetterModel, count_pairs
 from weftgraph.session import Scratch
 
-#: Texts that the model of neighbouring characters is fitted on.
-MODEL_TEXTS = 3000
 #: Nats by which a word must gain when its multibyte spans are decoded.
 SPAN_GAIN = 2.0
 PAGES = ("cp1252", "iso8859_15", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp866", "koi8_r", "iso8859_2")
@@ -254,31 +252,50 @@ def fit_letters(texts: list[str]) -> LetterModel:
     return LetterModel(count_pairs(w for ws in good for w in ws))
 
 
-def letter_model(df: DataFrame, text: str, texts: int = MODEL_TEXTS) -> LetterModel:
-    """The model of a sample of about ``texts`` distinct texts, taken by their hash.
+def letter_model(df: DataFrame, text: str, texts: int | None = None) -> LetterModel:
+    """The model of all distinct clean texts; with ``texts`` of about so many of them, taken by their hash.
 
-    The sample is bounded whatever the table's size; it is read and counted by
-    the executors, of which only the counts of pairs come back.
+    Texts are read once and only their words beyond ASCII, all that the model
+    counts, are kept; of the executors' work only the counts of pairs come back.
     """
-    rows = df.select(F.col(text).alias("t")).where("t <> ''")
-    n = rows.count()
-    share = min(1.0, texts / max(1, n))
-    hashed = rows.withColumn("h", F.xxhash64("t")).where(F.pmod("h", F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1))
-    sample = Scratch(df.sparkSession, "letters").cut(hashed.dropDuplicates(["h"]).select("t"), "sample")
+    rows = df.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).where("t <> ''")
+    if texts is not None:
+        share = min(1.0, texts / max(1, rows.count()))
+        rows = rows.where(F.pmod("h", F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, kept = [], []
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not t.isascii() and _is_clean(words := " ".join(WORD.findall(t))):
+                    hashes.append(h)
+                    kept.append(words)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(kept, pa.string())], names=["h", "words"])
+
+    scratch = Scratch(df.sparkSession, "letters")
+    distinct = scratch.cut(rows.mapInArrow(clean, "h bigint, words string").distinct().select("words"), "words")
 
     def counts(model: LetterModel | None) -> LetterModel:
+        def stays(words: str) -> bool:
+            odd = model.odd(list(set(words.split(" "))))
+            return not any(len(w) >= PROOF for w in odd) or model.turn(words) == words
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(SIZE * SIZE, np.int64)
             for batch in batches:
-                words = [WORD.findall(t) for t in batch.column(0).to_pylist() if not t.isascii() and _is_clean(t)]
-                if model is not None:
-                    words = [ws for ws in words if model.turn(" ".join(ws)) == " ".join(ws)]
-                found = count_pairs(w for ws in words for w in ws)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["pair", "n"])
-
-        got = sample.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # bounded by the pairs there are
+                for at in range(0, len(batch), 500):
+                    # the spaces between words are borders like those of count_pairs itself
+                    found = count_pairs(w for w in batch.column(0).slice(at, 500).to_pylist() if model is None or stays(w))
+                    seen[found[:, 0]] += found[:, 1]
+            pairs = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(seen[pairs])], names=["pair", "n"])
+
+        got = distinct.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # bounded by the pairs there are
         return LetterModel(np.array([(r[0], r[1]) for r in got], np.int64).reshape(-1, 2))
 
-    return counts(counts(None))
+    model = counts(counts(None))
+    scratch.close()
+    return model
 
 
 def restore(df: DataFrame, key: str, text: str) -> DataFrame:
